@@ -1,0 +1,31 @@
+"""Registered queries of the numbered problems: each takes (spark, sf_dir)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import visual_form
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _by_table(parts: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("tbl"), "*") for t, df in parts.items()])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_table({t: visual_form.look_alikes(_t(spark, sf, t), k, "content") for t, k in (("corpus_documents", "id"), ("corpus_chunks", "chunk_id"))})
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
