@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import visual_form
+from quarry.llm import near_dup, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _by_table({t: visual_form.look_alikes(_t(spark, sf, t), k, "content") for t, k in (("corpus_documents", "id"), ("corpus_chunks", "chunk_id"))})
 
 
+def _texts(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {"documents": (_t(spark, sf, "documents"), "doc_id", "text"), "corpus_documents": (_t(spark, sf, "corpus_documents"), "id", "content"), "corpus_chunks": (_t(spark, sf, "corpus_chunks"), "chunk_id", "content")}
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicate_pairs(spark, _texts(spark, sf))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicate_groups(spark, _texts(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
