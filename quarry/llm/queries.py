@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import near_dup, visual_form
+from quarry.llm import leak, near_dup, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +35,18 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicate_groups(spark, _texts(spark, sf))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leak.leaks(spark, _t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).where("exact_words >= 12").select("doc_id", "item_id")
+
+
+def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).where("score >= 12")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
