@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import leak, near_dup, visual_form
+from quarry.llm import kernel as K
+from quarry.llm import leak, near_dup, packing, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,6 +48,14 @@ def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).where("score >= 12")
 
 
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(K.checkpointed(spark, packing.sized(_t(spark, sf, "documents"))), _t(spark, sf, "pack_budgets"))
+
+
+def p7_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fit(p7_packing(spark, sf), _t(spark, sf, "pack_budgets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
