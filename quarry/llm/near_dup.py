@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
 from quarry.llm.visual_form import digest, form
 
-POOL = 36  #: min-hash functions, shared by the tables
+POOL = 42  #: min-hash functions, shared by the tables; three bits of each are kept for comparing
 TABLES = 9
 SYMBOLS = 2
 BITS = 7  #: length of the Hamming code
@@ -42,7 +42,7 @@ _DISTANCE = np.array([[bin(x ^ c).count("1") for c in _CODEWORDS] for x in range
 ANCHORS = [sorted((int(a) for a in np.flatnonzero(d <= RADIUS + WITHIN)), key=lambda a, d=d: int(d[a])) for d in _DISTANCE]
 
 _RNG = np.random.default_rng(20)
-_SEEDS = _RNG.integers(1, 2**63, POOL, dtype=np.uint64) | np.uint64(1)
+_SEEDS = _RNG.integers(1, 2**32, POOL, dtype=np.uint32) | np.uint32(1)
 _CHOICE = [_RNG.permutation(POOL)[: SYMBOLS + BITS] for _ in range(TABLES)]
 
 
@@ -56,17 +56,19 @@ def _grams(texts: list[str], n: int, min_words: int) -> tuple[np.ndarray, np.nda
 
 
 def _fingerprints(g: np.ndarray, gd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts that have any, their (symbols, bits) by table, and their one-bit min-hashes."""
+    """Texts that have any, their (symbols, bits) by table, and two words with three bits of each min-hash."""
     docs, at = K.group_starts(gd)
     low = np.empty((POOL, len(docs)), np.uint64)
+    x = (g >> np.uint64(32)).astype(np.uint32)
+    y = np.empty_like(x)
     for k, seed in enumerate(_SEEDS):
-        x = (g ^ (g >> np.uint64(29))) * seed
-        x ^= x >> np.uint64(32)
-        low[k] = np.minimum.reduceat(x * seed, at)
-    bit = K.mix(low) & np.uint64(1)
-    sketch = np.zeros(len(docs), np.uint64)
+        np.multiply(x, seed, out=y)
+        low[k] = np.minimum.reduceat(y, at)
+    low = K.mix(low * np.uint64(0x9E3779B97F4A7C15))
+    sketch = np.zeros((len(docs), 2), np.uint64)
     for k in range(POOL):
-        sketch |= bit[k] << np.uint64(k)
+        sketch[:, k // 21] |= (low[k] & np.uint64(7)) << np.uint64(3 * (k % 21))
+    bit = low & np.uint64(1)
     tables = np.empty((len(docs), TABLES), np.uint64)
     for t, pick in enumerate(_CHOICE):
         s = np.full(len(docs), t + 1, np.uint64)
@@ -84,7 +86,7 @@ def _texts(df: DataFrame, row_id: str, col: str) -> DataFrame:
 
 
 def signatures(df: DataFrame, row_id: str, col: str, n: int, min_words: int) -> DataFrame:
-    """row_id, rep (64-bit key of the form), tables and sketch."""
+    """row_id, rep (64-bit key of the form), tables, and the sketch u, w."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,30 +97,27 @@ def signatures(df: DataFrame, row_id: str, col: str, n: int, min_words: int) ->
                     continue
                 docs, tables, sketch = _fingerprints(g, gd)
                 rep = np.array([int(digest(some[d])[:16], 16) for d in docs], np.uint64)
-                yield pd.DataFrame({"row_id": ids[first + docs], "rep": rep.view(np.int64), "tables": list(tables.view(np.int64)), "sketch": sketch.view(np.int64)})
-
-    return _texts(df, row_id, col).mapInPandas(sign, "row_id string, rep long, tables array<long>, sketch long")
-
-
-def candidates(sig: DataFrame, max_sketch: int) -> DataFrame:
-    """tbl, a < b: forms that meet at an anchor with fingerprints within the threshold."""
-    reps = sig.groupBy("tbl", "rep").agg(F.first("tables").alias("tables"), F.first("sketch").alias("sketch"))
-    anchors = F.lit(ANCHORS)
-    each = reps.select("tbl", "rep", "sketch", F.posexplode("tables").alias("t", "x"))
-    code = F.col("x").bitwiseAND((1 << BITS) - 1)
-    spread = each.select(
-        "tbl",
-        "rep",
-        F.shiftleft("sketch", BITS).bitwiseOR(code).alias("v"),
-        F.shiftrightunsigned("x", BITS).alias("s"),
-        F.element_at(anchors, (code + 1).cast("int")).alias("at"),
-    )
-    key = lambda c: F.xxhash64("tbl", "s", c).alias("k")
-    home = spread.select(key(F.col("at")[0]), "tbl", F.col("rep").alias("a"), F.col("v").alias("va"))
-    spots = spread.select("tbl", "s", "rep", "v", F.explode("at").alias("at")).select(key(F.col("at")), F.col("rep").alias("b"), F.col("v").alias("vb"))
-    x = F.col("va").bitwiseXOR(F.col("vb"))
-    met = home.join(spots, "k").where(F.col("a") < F.col("b")).where(F.bit_count(x.bitwiseAND((1 << BITS) - 1)) <= WITHIN).where(F.bit_count(F.shiftrightunsigned(x, BITS)) <= max_sketch)
-    return met.select("tbl", "a", "b").distinct()
+                yield pd.DataFrame({"row_id": ids[first + docs], "rep": rep.view(np.int64), "tables": list(tables.view(np.int64)), "u": sketch[:, 0].copy().view(np.int64), "w": sketch[:, 1].copy().view(np.int64)})
+
+    return _texts(df, row_id, col).mapInPandas(sign, "row_id string, rep long, tables array<long>, u long, w long")
+
+
+def _differ(x: Column) -> Column:
+    """In how many of its 21 groups of three bits a word has any."""
+    ones = F.lit(0o111111111111111111111)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones))
+
+
+def candidates(sig: DataFrame, max_differ: int) -> DataFrame:
+    """tbl, a < b: forms that meet at the home anchor of a, with at most so many different min-hashes."""
+    reps = sig.groupBy("tbl", "rep").agg(F.first("tables").alias("tables"), F.first("u").alias("u"), F.first("w").alias("w"))
+    each = reps.select("tbl", "rep", "u", "w", F.explode("tables").alias("x"))
+    at = F.element_at(F.lit(ANCHORS), (F.col("x").bitwiseAND((1 << BITS) - 1) + 1).cast("int"))
+    spread = each.select("tbl", "rep", "u", "w", F.shiftrightunsigned("x", BITS).alias("s"), at.alias("at"))
+    home = spread.select(F.xxhash64("tbl", "s", F.col("at")[0]).alias("k"), "tbl", F.col("rep").alias("a"), F.col("u").alias("ua"), F.col("w").alias("wa"))
+    spots = spread.select("tbl", "s", "rep", "u", "w", F.explode("at").alias("at")).select(F.xxhash64("tbl", "s", "at").alias("k"), F.col("rep").alias("b"), F.col("u").alias("ub"), F.col("w").alias("wb"))
+    apart = _differ(F.col("ua").bitwiseXOR(F.col("ub"))) + _differ(F.col("wa").bitwiseXOR(F.col("wb")))
+    return home.join(spots, "k").where(F.col("a") < F.col("b")).where(apart <= max_differ).select("tbl", "a", "b").distinct()
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
@@ -141,9 +140,9 @@ def links(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, str]], n:
     for p in parts[1:]:
         sig = sig.unionByName(p)
     sig = K.checkpointed(spark, sig)
-    # A one-bit min-hash differs with probability (1 - similarity) / 2; four standard deviations are allowed.
-    p = (1 - min_similarity) / 2
-    cand = K.checkpointed(spark, candidates(sig, int(np.ceil(POOL * p + 4 * (POOL * p * (1 - p)) ** 0.5))))
+    # Three bits of a min-hash differ with probability 7/8 (1 - similarity); 3.5 standard deviations are allowed.
+    p = (1 - min_similarity) * 7 / 8
+    cand = K.checkpointed(spark, candidates(sig, int(np.ceil(POOL * p + 3.5 * (POOL * p * (1 - p)) ** 0.5))))
     need = cand.select("tbl", F.explode(F.array("a", "b")).alias("rep")).distinct()
     one = K.checkpointed(spark, sig.join(F.broadcast(need) if cand.count() * 2 <= BROADCAST_IDS else need, ["tbl", "rep"], "left_semi").groupBy("tbl", "rep").agg(F.min("row_id").alias("row_id")))
     small = one.count() <= BROADCAST_IDS
