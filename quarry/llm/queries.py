@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
-from quarry.llm import leak, near_dup, packing, visual_form
+from quarry.llm import language, leak, near_dup, packing, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,6 +56,24 @@ def p7_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fit(p7_packing(spark, sf), _t(spark, sf, "pack_budgets"))
 
 
+def _languages(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    docs, corpus = _t(spark, sf, "documents"), _t(spark, sf, "corpus_documents")
+    models = language.train(spark, docs, "doc_id", "text", F.col("lang"))
+    return {
+        "documents": language.segments(spark, models, docs, "doc_id", "text", F.col("lang")),
+        "corpus_documents": language.segments(spark, models, corpus, "id", "content", F.col("metadata")["Language"]),
+    }
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = {t: language.languages(df) for t, df in _languages(spark, sf).items()}
+    return _by_table(found).where("label IS NULL OR label <> lang").select("tbl", "row_id", "lang")
+
+
+def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_table({t: df.select("row_id", "label", F.inline("segments")) for t, df in _languages(spark, sf).items()})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
