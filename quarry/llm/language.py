@@ -29,6 +29,8 @@ from quarry.llm.visual_form import form
 TRAIN_DOCS = 80  #: labelled documents of a language that are read
 TRAIN_CHARS = 14_000  #: of them in the automaton of a language
 MIN_LETTERS = 20  #: of a whole sentence
+MIN_PER_LINE = 12  #: letters a line on average; fewer are headers and footers of pages
+SURE = 0.15  #: confidence of a sentence that counts
 #: Spellings of language labels, lower case; a region after "-" or "_" is cut first.
 LABELS = {
     "tr": ["tr", "tur", "turkish", "türkçe", "turkce"],
@@ -146,6 +148,7 @@ class Models:
 
 _BREAKS = np.array([0x2D, 0xAC, 0xAD, 0x2010], np.uint32)
 _ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+_CLOSERS = np.array([ord(c) for c in "\"'”’»)]“"], np.uint32)
 _SPACE = np.array([9, 10, 32], np.uint32)
 
 
@@ -160,6 +163,9 @@ def detect(models: Models, texts: list[str]) -> pd.DataFrame:
     sym, at = models.symbols(cp)
     wide = np.isin(cp, _SPACE)
     end = np.isin(cp, _ENDS)
+    closer = np.isin(cp, _CLOSERS)
+    for _ in range(2):  # closing quotes and brackets belong to the end
+        end[1:] |= end[:-1] & closer[1:]
     cut = np.flatnonzero(end[:-1] & wide[1:]) + 1
     bounds = np.unique(np.concatenate([begin, cut, [len(cp)]]))
     s, e = bounds[:-1], bounds[1:]
@@ -169,6 +175,8 @@ def detect(models: Models, texts: list[str]) -> pd.DataFrame:
     n_letters = letter[hi] - letter[lo]
     cyr = np.concatenate(([0], np.cumsum((cp[at] >= 0x400) & (cp[at] < 0x530))))
     is_cyr = 2 * (cyr[hi] - cyr[lo]) > n_letters
+    feeds = np.concatenate(([0], np.cumsum(cp == 10)))
+    running = n_letters >= MIN_PER_LINE * (feeds[e] - feeds[s] + 1)
     lang = np.full(len(s), -1)
     conf = np.zeros(len(s))
     for script in (False, True):
@@ -185,7 +193,7 @@ def detect(models: Models, texts: list[str]) -> pd.DataFrame:
         conf[rows] = (two[1] - two[0]) / np.maximum(two[1], 1)
     # The last character of a sentence is its end mark, unless the text stops without one.
     last = np.minimum(e, stop[doc] - 1) - 1
-    out = pd.DataFrame({"doc": doc, "start": s - begin[doc], "stop": last + 1 - begin[doc], "lang": lang, "confidence": conf, "letters": n_letters, "whole": (n_letters >= MIN_LETTERS) & end[np.maximum(last, 0)]})
+    out = pd.DataFrame({"doc": doc, "start": s - begin[doc], "stop": last + 1 - begin[doc], "lang": lang, "confidence": conf, "letters": n_letters, "whole": running & (n_letters >= MIN_LETTERS) & (conf >= SURE) & end[np.maximum(last, 0)]})
     return out[out.lang >= 0]
 
 
