@@ -95,6 +95,21 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return g[at], doc[at], at
 
 
+_ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+_CLOSERS = np.array([ord(c) for c in "\"'”’»)]“"], np.uint32)
+_SPACE = np.array([9, 10, 32], np.uint32)
+
+
+def sentence_bounds(cp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of plain sentences (end mark, closers, white space), and whether an end mark with closers is at a position."""
+    end = np.isin(cp, _ENDS)
+    closer = np.isin(cp, _CLOSERS)
+    for _ in range(2):  # closing quotes and brackets belong to the end
+        end[1:] |= end[:-1] & closer[1:]
+    cut = np.flatnonzero(end[:-1] & np.isin(cp[1:], _SPACE)) + 1
+    return np.unique(np.concatenate([begin, cut, [len(cp)]])), end
+
+
 def group_starts(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array and where each begins."""
     at = np.flatnonzero(np.diff(doc, prepend=-1))

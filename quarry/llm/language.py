@@ -147,9 +147,6 @@ class Models:
 
 
 _BREAKS = np.array([0x2D, 0xAC, 0xAD, 0x2010], np.uint32)
-_ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"'”’»)]“"], np.uint32)
-_SPACE = np.array([9, 10, 32], np.uint32)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -161,13 +158,7 @@ def detect(models: Models, texts: list[str]) -> pd.DataFrame:
     cp, begin = K.code_points(texts)
     stop = np.append(begin[1:], len(cp))
     sym, at = models.symbols(cp)
-    wide = np.isin(cp, _SPACE)
-    end = np.isin(cp, _ENDS)
-    closer = np.isin(cp, _CLOSERS)
-    for _ in range(2):  # closing quotes and brackets belong to the end
-        end[1:] |= end[:-1] & closer[1:]
-    cut = np.flatnonzero(end[:-1] & wide[1:]) + 1
-    bounds = np.unique(np.concatenate([begin, cut, [len(cp)]]))
+    bounds, end = K.sentence_bounds(cp, begin)
     s, e = bounds[:-1], bounds[1:]
     doc = np.searchsorted(begin, s, side="right") - 1
     lo, hi = np.searchsorted(at, s), np.searchsorted(at, e)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
-from quarry.llm import language, leak, near_dup, packing, visual_form
+from quarry.llm import language, leak, near_dup, packing, subjects, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,6 +74,18 @@ def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _by_table({t: df.select("row_id", "label", F.inline("segments")) for t, df in _languages(spark, sf).items()})
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.classify(spark, _t(spark, sf, "documents"), _t(spark, sf, "corpus_documents"), _t(spark, sf, "subject_labels"), _t(spark, sf, "subjects"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).where("subject IS NOT NULL AND sentences >= 0.25 * n_sentences").select("doc_id", "subject")
+
+
+def p9_makeup(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.composition(K.checkpointed(spark, _subjects(spark, sf)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
