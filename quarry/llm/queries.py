@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
-from quarry.llm import language, leak, near_dup, packing, subjects, visual_form
+from quarry.llm import language, leak, near_dup, packing, sentences, subjects, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -86,6 +86,14 @@ def p9_makeup(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(K.checkpointed(spark, _subjects(spark, sf)))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.true_sentences(_t(spark, sf, "sentence_details")).select("query_id", "sentence_index", "end_offset").distinct()
+
+
+def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.true_sentences(_t(spark, sf, "sentence_details"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
