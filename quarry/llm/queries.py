@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
-from quarry.llm import language, leak, near_dup, packing, sentences, subjects, visual_form
+from quarry.llm import language, leak, names, near_dup, packing, sentences, subjects, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,6 +94,18 @@ def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.true_sentences(_t(spark, sf, "sentence_details"))
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return names.link_names(_t(spark, sf, "corpus_documents"), _t(spark, sf, "name_registry"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).select("id", "field_name", "entity_id")
+
+
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
