@@ -44,9 +44,9 @@ NICKNAMES = {
 }
 # Words of institutions that mean the same, folded; the first names the meaning.
 MEANINGS = [
-    "hospital hastanesi hastane hst hosp krankenhaus", "state devlet", "general genel gen allgemeines", "cardiology kardiyoloji kard kardiologie card", "society dernegi dernek der soc gesellschaft",
+    "hospital hastanesi hastane hst hosp krankenhaus", "state devlet", "general genel gen gn allgemeines", "cardiology kardiyoloji kard kardiologie card", "society dernegi dernek der soc gesellschaft",
     "university universitesi universite univ uni", "faculty fakultesi fakulte fak fac fakultat", "medicine tip med medizin", "pharmacy eczacilik ecz pharm pharmazie",
-    "research arastirma aras res ar forschung", "centre merkezi merkez mrk mer ctr center cent zentrum", "institute enstitusu enstitu inst ens institut", "clinical klinik clin klin", "informatics bilisim inform bil inf informatik",
+    "research arastirma aras res ar forschung", "centre merkezi merkez mrk mer ctr center cent zentrum", "institute enstitusu enstitu inst ens enst institut", "clinical klinik clin klin kln", "informatics bilisim inform bil inf informatik",
 ]
 _STOP = frozenset("of ve and the und fur icin".split())
 _MEANING = {w: line.split()[0] for line in MEANINGS for w in line.split()}
