@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
-from quarry.llm import language, leak, names, near_dup, packing, sentences, subjects, visual_form
+from quarry.llm import language, leak, names, near_dup, packing, scans, sentences, subjects, visual_form
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -106,6 +106,14 @@ def p4_links(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf)
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.Scans(spark, _t(spark, sf, "corpus_documents")).found().select("id", "line_no", "kind", "repaired").distinct()
+
+
+def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.Scans(spark, _t(spark, sf, "corpus_documents")).paragraphs()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
