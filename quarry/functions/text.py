@@ -53,26 +53,15 @@ def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda x: ~F.array_contains(listed, x))
 
 
+# One alternative for each suffix, tried in order; each leaves at least three characters.
+_CUT = "^(?:" + "|".join(f"(.{{3,}}){x}" for x in SUFFIXES) + ")$"
+_CUT_TO = "".join(f"${i + 1}" for i in range(len(SUFFIXES)))
+
+
 def stem(word: Column) -> Column:
     """Light stem: the first Turkish suffix that leaves three characters, then English endings; short words stay."""
-    cut = F
-    for s in SUFFIXES:
-        cut = cut.when(word.endswith(s) & (F.length(word) >= len(s) + 3), F.substring(word, F.lit(1), F.length(word) - len(s)))
-    w = cut.otherwise(word)
-    return F.when(F.length(word) <= 3, word).otherwise(_english(w))
-
-
-def _english(w: Column) -> Column:
-    n = F.length(w)
-    left = lambda k: F.substring(w, F.lit(1), n - k)
-    return (
-        F.when(w.endswith("sses"), left(2))
-        .when(w.endswith("ies"), F.concat(left(3), F.lit("y")))
-        .when(w.endswith("ing") & (n > 5), left(3))
-        .when(w.endswith("ed") & (n > 4), left(2))
-        .when(w.endswith("s") & ~w.endswith("ss"), left(1))
-        .otherwise(w)
-    )
+    w = F.regexp_replace(F.regexp_replace(word, _CUT, _CUT_TO), "ies$", "y")
+    return F.when(F.length(word) <= 3, word).otherwise(F.regexp_replace(w, "^(?:(.*ss)es|(.{3,})ing|(.{3,})ed|(.*[^s])s)$", "$1$2$3$4"))
 
 
 def stems(words: Column) -> Column:
