@@ -223,7 +223,7 @@ def exec_evaluation(s, sf):
 
 def json_repair(s, sf):
     """Answers as careless JSON: fenced, single quotes, trailing commas, brackets left open."""
-    d = _t(s, sf, "sentence_details").select("query_id", "sentence_index", F.concat(F.lit("Result:\n```json\n{'id': '"), "query_id", F.lit("', 'index': "), F.col("sentence_index").cast("string"), F.lit(", 'parts': ['a', 'b',\n```")).alias("raw")).distinct()
+    d = _t(s, sf, "sentence_details").select("query_id", "sentence_index", F.concat(F.lit("Result:\n```json\n{'id': '"), "query_id", F.lit("', 'index': "), F.col("sentence_index").cast("string"), F.lit(", 'parts': ['a', 'b',]\n```")).alias("raw")).distinct()
     fixed = T.repaired_json(T.fenced(F.col("raw")))
     return d.select("query_id", "sentence_index", fixed.alias("fixed"), F.try_parse_json(fixed).isNotNull().alias("is_json"))
 
@@ -314,7 +314,7 @@ def polar_projection(s, sf):
 
 
 def cross_doc_bridges(s, sf):
-    return views.bridges(_points(s, sf)).groupBy("query_id", "a").agg(F.count("*").alias("n_bridges"))
+    return views.bridges(_points(s, sf), near=0.9).groupBy("query_id", "a").agg(F.count("*").alias("n_bridges"))
 
 
 def chunk_links(s, sf):
