@@ -193,9 +193,9 @@ y AS (SELECT *, CASE WHEN e = 0 OR c = 0 THEN 1.0 ELSE h / c END AS p FROM z) SE
 z AS (SELECT *, CASE WHEN n2 <> '' AND len(list_filter(hs, lambda h: h = n2 OR (length(n2) >= 15 AND (contains(n2, h) OR contains(h, n2))))) > 0 THEN 2 WHEN n1 <> '' AND len(list_filter(hs, lambda h: h = n1 OR (length(n1) >= 15 AND (contains(n1, h) OR contains(h, n1))))) > 0 THEN 1 ELSE 0 END AS removed FROM y)
 SELECT file, page_no, CAST(removed AS INT) AS removed, md5(CASE WHEN removed > 0 THEN coalesce(array_to_string(l[removed + 1:], chr(10)), '') ELSE text END) AS text_md5 FROM z""",
         "page_cleaning": rf"""WITH p AS (SELECT id, 'CASE REPORT' || chr(10) || 'Cite this article as: ' || coalesce(metadata['Authors'], '') || '. ' || file_name || '. ' || coalesce(metadata['Journal'], '') || '. 2020' || chr(10) || 'DOI: ' || coalesce(metadata['Doi'], '') || '.' || chr(10) || 'ABSTRACT C oronary ' || coalesce(content, '') AS page FROM corpus_documents),
-c AS (SELECT *, {_TRIM("regexp_replace(regexp_extract(page, '(?i)Cite this article as:\s*([^\r\n]+)', 1), '\s+', ' ', 'g')")} AS cite FROM p), k AS (SELECT *, list_filter(list_transform(string_split(cite, '.'), lambda z: {_TRIM('z')}), lambda z: z <> '') AS parts FROM c)
+c AS (SELECT *, {_TRIM(r"regexp_replace(regexp_extract(page, '(?i)Cite this article as:\s*([^\r\n]+)', 1), '\s+', ' ', 'g')")} AS cite FROM p), k AS (SELECT *, list_filter(list_transform(string_split(cite, '.'), lambda z: {_TRIM('z')}), lambda z: z <> '') AS parts FROM c)
 SELECT id, nullif(regexp_replace(regexp_extract(page, '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), '[.;,]+$', ''), '') AS doi, cite AS citation, parts[1] AS authors, CASE WHEN len(parts) >= 3 THEN parts[3] WHEN len(parts) = 2 AND length(parts[2]) > 3 THEN parts[2] END AS journal,
-md5(regexp_replace({_TRIM(f"regexp_replace(regexp_replace(regexp_replace(page, '(?i)(^|\n|\r)\s*({LINE_BADGES})\s*($|\n|\r)', chr(10), 'g'), '(?i)\b({BADGES})\b', '', 'g'), '[ \t]+', ' ', 'g')")}, '\b([A-Z])\s+([a-z]{{2,}})\b', '\1\2', 'g')) AS clean_md5,
+md5(regexp_replace({_TRIM(rf"regexp_replace(regexp_replace(regexp_replace(page, '(?i)(^|\n|\r)\s*({LINE_BADGES})\s*($|\n|\r)', chr(10), 'g'), '(?i)\b({BADGES})\b', '', 'g'), '[ \t]+', ' ', 'g')")}, '\b([A-Z])\s+([a-z]{{2,}})\b', '\1\2', 'g')) AS clean_md5,
 CAST(length({_TRIM("substr(page, strpos(page, chr(10) || 'ABSTRACT'))")}) AS INT) AS body_length FROM k""",
         "nearest_five": f"WITH {_POINTS} SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank FROM pts QUALIFY rank <= 5",
         "polar_projection": f"WITH {_POINTS}, p AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY doc) - 1 AS sector, row_number() OVER (PARTITION BY query_id, doc ORDER BY chunk_id) - 1 AS i, count(*) OVER (PARTITION BY query_id, doc) AS n FROM pts), m AS (SELECT *, max(sector) OVER (PARTITION BY query_id) + 1 AS k FROM p), g AS (SELECT *, least(2 * pi() / k * 0.85, n * 0.25) AS span FROM m), a AS (SELECT *, -pi() / 2 + sector * 2 * pi() / k + CASE WHEN n > 1 THEN i / (n - 1) * span ELSE span / 2 END AS angle, greatest(0.12, least(1.0, distance * 1.1)) AS r FROM g) SELECT query_id, chunk_id, round((r * cos(angle))::DOUBLE, 3) + 0.0::DOUBLE AS x, round((r * sin(angle))::DOUBLE, 3) + 0.0::DOUBLE AS y FROM a",
