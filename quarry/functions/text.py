@@ -53,14 +53,22 @@ def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda x: ~F.array_contains(listed, x))
 
 
-# One alternative for each suffix, tried in order; each leaves at least three characters.
-_CUT = "^(?:" + "|".join(f"(.{{3,}}){x}" for x in SUFFIXES) + ")$"
-_CUT_TO = "".join(f"${i + 1}" for i in range(len(SUFFIXES)))
+def _longest_first() -> str:
+    """One pattern for the suffixes, by first letter. Of two that fit, the one tried first is the longer, but for two that a shorter one precedes and hides."""
+    by: dict[str, list[str]] = {}
+    for i, x in enumerate(SUFFIXES):
+        if not any(x.endswith(y) for y in SUFFIXES[:i]):
+            by.setdefault(x[0], []).append(x[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
+# The shortest stem of three or more characters that a suffix follows.
+_CUT = f"^(.{{3,}}?)(?:{_longest_first()})$"
 
 
 def stem(word: Column) -> Column:
     """Light stem: the first Turkish suffix that leaves three characters, then English endings; short words stay."""
-    w = F.regexp_replace(F.regexp_replace(word, _CUT, _CUT_TO), "ies$", "y")
+    w = F.regexp_replace(F.regexp_replace(word, _CUT, "$1"), "ies$", "y")
     return F.when(F.length(word) <= 3, word).otherwise(F.regexp_replace(w, "^(?:(.*ss)es|(.{3,})ing|(.{3,})ed|(.*[^s])s)$", "$1$2$3$4"))
 
 
@@ -127,11 +135,17 @@ def base_name(chunk_or_page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(chunk_or_page, r"_c\d+$", ""), r"#Sayfa_\d+$", "")
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine; null for a zero vector or different lengths."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+    return F.when(F.size(a) == F.size(b), dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -30,15 +30,16 @@ def answer_sentences(answers: DataFrame, stop: list[str]) -> DataFrame:
 
 def context_keys(context: DataFrame, chunks: DataFrame, stop: list[str]) -> DataFrame:
     """query_id, key: distinct match keys of the content words of the context (query_id, chunk_id)."""
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(T.without(T.tokens(F.col("content")), stop))).alias("term"))
-    keys = words.select("chunk_id", F.explode(T.build_keys(T.stem(F.col("term")))).alias("key")).distinct()
-    return context.select("query_id", "chunk_id").distinct().join(keys, "chunk_id").select("query_id", "key").distinct()
+    used = context.select("query_id", "chunk_id").distinct()
+    stems = chunks.select("chunk_id", F.array_distinct(T.stems(F.array_distinct(T.without(T.tokens(F.col("content")), stop)))).alias("s"))
+    keys = stems.select("chunk_id", F.array_distinct(F.flatten(F.transform("s", T.build_keys))).alias("keys"))
+    return used.join(keys, "chunk_id").select("query_id", F.explode("keys").alias("key")).distinct()
 
 
 def support(sentences: DataFrame, context: DataFrame, chunks: DataFrame, stop: list[str]) -> DataFrame:
     """The sentences and how many of their content words (repeats count) the context supports: matched, total, grounded."""
-    words = sentences.where("NOT free").select("query_id", "attempt", "sentence_index", F.posexplode("content").alias("w", "term"))
-    asked = words.select("query_id", "attempt", "sentence_index", "w", F.explode(T.probe_keys(T.stem(F.col("term")))).alias("key"))
+    words = sentences.where("NOT free").select("query_id", "attempt", "sentence_index", F.posexplode(T.stems(F.col("content"))).alias("w", "s"))
+    asked = words.select("query_id", "attempt", "sentence_index", "w", F.explode(T.probe_keys(F.col("s"))).alias("key"))
     hit = asked.join(context_keys(context, chunks, stop), ["query_id", "key"], "left_semi").select("query_id", "attempt", "sentence_index", "w").distinct()
     n = hit.groupBy("query_id", "attempt", "sentence_index").agg(F.count("*").alias("matched"))
     out = sentences.join(n, ["query_id", "attempt", "sentence_index"], "left").withColumn("matched", F.coalesce("matched", F.lit(0))).withColumn("total", F.size("content").cast("long"))
@@ -68,10 +69,10 @@ def evidence(answers: DataFrame, context: DataFrame, chunks: DataFrame) -> DataF
     """
     s = support(answer_sentences(answers, T.TRIAD_STOP), context, chunks, T.TRIAD_STOP)
     lines = chunks.select("chunk_id", "doc_id", F.posexplode(T.evidence_lines(F.col("content"))).alias("line_no", "line")).where(F.length("line") >= 10)
-    line_keys = lines.select("chunk_id", "line_no", F.explode(F.array_distinct(F.flatten(F.transform(T.without(T.tokens(F.col("line")), T.TRIAD_STOP), lambda t: T.build_keys(T.stem(t)))))).alias("key"))
+    line_keys = lines.select("chunk_id", "line_no", F.explode(F.array_distinct(F.flatten(F.transform(T.stems(T.without(T.tokens(F.col("line")), T.TRIAD_STOP)), T.build_keys)))).alias("key"))
     at = context.select("query_id", "chunk_id", "rank").join(line_keys, "chunk_id")
-    words = s.where("NOT free").select("query_id", "attempt", "sentence_index", F.posexplode("content").alias("w", "term"))
-    asked = words.select("query_id", "attempt", "sentence_index", "w", F.explode(T.probe_keys(T.stem(F.col("term")))).alias("key"))
+    words = s.where("NOT free").select("query_id", "attempt", "sentence_index", F.posexplode(T.stems(F.col("content"))).alias("w", "s"))
+    asked = words.select("query_id", "attempt", "sentence_index", "w", F.explode(T.probe_keys(F.col("s"))).alias("key"))
     n = asked.join(at, ["query_id", "key"]).groupBy("query_id", "attempt", "sentence_index", "rank", "chunk_id", "line_no").agg(F.countDistinct("w").alias("m"))
     best = n.groupBy("query_id", "attempt", "sentence_index").agg(F.max(F.struct("m", -F.col("rank"), -F.col("line_no"), "chunk_id")).alias("x")).select("query_id", "attempt", "sentence_index", F.col("x.m").alias("line_matches"), (-F.col("x.col3")).alias("line_no"), F.col("x.chunk_id").alias("chunk_id"))
     named = best.join(lines, ["chunk_id", "line_no"]).select("query_id", "attempt", "sentence_index", "line_matches", F.col("doc_id").alias("best_doc_id"), F.col("line").alias("best_snippet"))
@@ -84,9 +85,9 @@ def context_relevancy(queries: DataFrame, context: DataFrame, chunks: DataFrame)
     q = queries.select("query_id", T.without(T.tokens(F.col("query")), T.TRIAD_STOP).alias("qt"), (F.coalesce(T.squeezed(F.col("query")), F.lit("")) == "").alias("blank"))
     s = chunks.select("chunk_id", F.posexplode(T.sentences(F.col("content"))).alias("i", "s"))
     total = s.groupBy("chunk_id").agg(F.count("*").alias("total"))
-    keys = s.select("chunk_id", "i", F.explode(F.array_distinct(F.flatten(F.transform(T.without(T.tokens(F.col("s")), T.TRIAD_STOP), lambda t: T.probe_keys(T.stem(t)))))).alias("key"))
+    keys = s.select("chunk_id", "i", F.explode(F.array_distinct(F.flatten(F.transform(T.stems(T.without(T.tokens(F.col("s")), T.TRIAD_STOP)), T.probe_keys)))).alias("key"))
     ctx = context.select("query_id", "chunk_id").distinct()
-    asked = q.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("qt", lambda t: T.build_keys(T.stem(t)))))).alias("key"))
+    asked = q.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(T.stems(F.col("qt")), T.build_keys)))).alias("key"))
     hit = ctx.join(keys, "chunk_id").join(asked, ["query_id", "key"], "left_semi").select("query_id", "chunk_id", "i").distinct().groupBy("query_id").agg(F.count("*").alias("hit"))
     all_ = ctx.join(total, "chunk_id", "left").groupBy("query_id").agg(F.sum(F.coalesce("total", F.lit(0))).alias("total"))
     j = q.join(all_, "query_id", "left").join(hit, "query_id", "left")

@@ -12,8 +12,14 @@ from quarry.operators import chunking, pages, retrieval, verification, views
 from quarry.sources import corpus
 
 
+#: Tables whose rows take long to work on. In few small files they are spread over the cores first; in many they stay where they are.
+_TEXTS = ("corpus_documents", "corpus_chunks", "attempts", "queries")
+
+
 def _t(s: SparkSession, sf: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{sf}/{name}.parquet")
+    df = s.read.parquet(f"{sf}/{name}.parquet")
+    cores = s.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in _TEXTS and len(df.inputFiles()) * 4 <= cores else df
 
 
 def _long(c: str):
