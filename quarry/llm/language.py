@@ -255,6 +255,8 @@ def segments(spark: SparkSession, models: Models, df: DataFrame, row_id: str, te
                 for x in zip(doc[new].tolist(), start.tolist(), stop.tolist(), names[lang[new]].tolist(), np.round(mean, 4).tolist(), whole.tolist(), total.tolist(), strict=True):
                     if has[x[0]]:
                         rows.setdefault(x[0], []).append(dict(zip(("start", "stop", "lang", "confidence", "sentences", "letters"), x[1:], strict=True)))
+                if not rows:
+                    continue
                 yield pd.DataFrame({"row_id": [ids[first + i] for i in rows], "label": [labels[first + i] for i in rows], "segments": list(rows.values())})
 
     src = df.select(F.col(row_id).cast("string").alias("row_id"), label_code(label).alias("label"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")

@@ -127,7 +127,9 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
             for first, some in K.blocks(texts):
                 g, gd = _grams(some, n, 0)
                 docs, at = K.group_starts(gd)
-                parts = np.split((g >> np.uint64(32)).astype(np.uint32).view(np.int32), at[1:]) if len(at) else []
+                if not len(docs):
+                    continue
+                parts = np.split((g >> np.uint64(32)).astype(np.uint32).view(np.int32), at[1:])
                 yield pd.DataFrame({"rep": reps[first + docs], "grams": [np.unique(p) for p in parts]})
 
     return df.mapInPandas(sets, "rep long, grams array<int>")

@@ -80,7 +80,7 @@ def digest(text: str) -> str:
 def _once(f, values: pd.Series) -> pd.Series:
     """f per distinct value of the batch; nulls stay."""
     known = {v: f(v) for v in values.dropna().unique()}
-    return values.map(known)
+    return pd.Series([known.get(v) if isinstance(v, str) else None for v in values], index=values.index, dtype=object)
 
 
 def with_form(df: DataFrame, col: str = "content", to: str = "form") -> DataFrame:
