@@ -31,6 +31,7 @@ from quarry.llm import kernel as K
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 DIMS, ORDER = 3, 10  #: of the curve: dimensions, bits each
 BUCKETS = 256  #: of the hashed word vectors
+MAX_BUDGETS = 1000
 WINDOW = 4096  #: documents of the curve that a container may choose from
 
 _PROJECTION = np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
@@ -123,9 +124,9 @@ def fill(sizes: list[int], capacity: int, window: int = WINDOW) -> list[int]:
 def pack(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_id, container_id, doc_id, piece_no, start_token, n_tokens: every document in every budget.
 
-    docs: doc_id, n_tokens, curve; budgets: budget_id, capacity_tokens (a row
-    each, broadcast while they are few; null or non-positive capacities are
-    skipped). container_id is unique within a budget.
+    docs: doc_id, n_tokens, curve; budgets: budget_id, capacity_tokens (at most
+    MAX_BUDGETS; null or non-positive capacities are skipped). container_id is
+    unique within a budget.
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +152,11 @@ def pack(docs: DataFrame, budgets: DataFrame) -> DataFrame:
                 }
             )
 
-    few = budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct()
-    each = docs.join(F.broadcast(few) if few.count() <= 10_000 else few, how="cross")
+    few = budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("budget_id").limit(MAX_BUDGETS + 1).collect()
+    if len(few) > MAX_BUDGETS:
+        raise ValueError(f"more than {MAX_BUDGETS} budgets")
+    sizes = F.array(*[F.struct(F.lit(b.budget_id).alias("budget_id"), F.lit(b.capacity_tokens).alias("capacity_tokens")) for b in few]) if few else F.lit([]).cast("array<struct<budget_id:int,capacity_tokens:int>>")
+    each = docs.select("*", F.inline(sizes))
     ordered = each.repartitionByRange("budget_id", "curve", "doc_id").sortWithinPartitions("budget_id", "curve", "doc_id")
     return ordered.mapInPandas(packed, "budget_id int, container_id long, doc_id long, piece_no int, start_token int, n_tokens int")
 

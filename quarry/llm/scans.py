@@ -125,7 +125,7 @@ class Page:
                     continue
                 key = line_key(self.lines[i])
                 first = self.lines[i].lstrip()[:1]
-                if any(len(key) > 5 and SequenceMatcher(None, key, x).ratio() >= SIMILAR_LINE for x in keys if x) or (self.interrupts(i) and not first.islower()):
+                if any(len(key) > 5 and SequenceMatcher(None, key, x).ratio() >= SIMILAR_LINE for x in keys if x) or (self.interrupts(i) and not first.islower() and not re.search(r"[.,;] ", self.lines[i].strip()) and len(key.split()) <= 5):
                     out.add(i)
                     grew = True
         return out
