@@ -34,6 +34,25 @@ def _alnum() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
+@functools.lru_cache(maxsize=1)
+def _char_hash() -> np.ndarray:
+    return mix(np.arange(0x110000, dtype=np.uint64) + _ODD)
+
+
+#: Odd factors by position, for hashing sequences of hashes.
+FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * _ODD) | np.uint64(1)
+
+
+def combined(h: np.ndarray, positions: list[int], m: int, seed: int = 0) -> np.ndarray:
+    """By window of m consecutive ones: one hash of the hashes at these positions in it."""
+    x = np.full(m, seed, np.uint64)
+    t = np.empty(m, np.uint64)
+    for i in positions:
+        np.multiply(h[i : i + m], FACTORS[i], out=t)
+        x += t
+    return mix(x)
+
+
 class _Powers:
     up = down = np.ones(1, np.uint64)
 
@@ -77,7 +96,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(cp) + 1)
     run = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(mix(cp.astype(np.uint64) + _ODD) * up[: len(cp)], out=run[1:])
+    np.cumsum(_char_hash()[cp] * up[: len(cp)], out=run[1:])
     h = mix((run[e] - run[s]) * down[s])
     doc = np.searchsorted(starts, s, side="right") - 1
     return h, doc, s - starts[doc], e - starts[doc]
@@ -88,11 +107,8 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     if len(h) < n:
         return h[:0], doc[:0], np.zeros(0, np.int64)
     m = len(h) - n + 1
-    g = np.zeros(m, np.uint64)
-    for k in range(n):
-        g = mix(g * _ODD + h[k : k + m])
     at = np.flatnonzero(doc[:m] == doc[n - 1 :])
-    return g[at], doc[at], at
+    return combined(h, list(range(n)), m)[at], doc[at], at
 
 
 _ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)

@@ -43,16 +43,26 @@ def seeds(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:m] == doc[SPAN - 1 :])
-    out = []
-    for k, mask in enumerate(MASKS):
-        x = np.full(len(at), k + 1, np.uint64)
-        for i, keep in enumerate(mask):
-            if keep == "1":
-                x = K.mix(x * np.uint64(0x9E3779B97F4A7C15) + h[at + i])
-        out.append(x)
+    out = [K.combined(h, [i for i, keep in enumerate(mask) if keep == "1"], m, k + 1)[at] for k, mask in enumerate(MASKS)]
     return np.concatenate(out), np.tile(at, len(MASKS))
 
 
+_BITS = np.uint64(22)
+
+
+def is_known(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array; a table of their low bits settles most."""
+    hit = np.zeros(len(s), bool)
+    if len(known):
+        low = np.zeros(1 << int(_BITS), bool)
+        mask = (np.uint64(1) << _BITS) - np.uint64(1)
+        low[(known & mask).astype(np.int64)] = True
+        maybe = np.flatnonzero(low[(s & mask).astype(np.int64)])
+        x = s[maybe]
+        hit[maybe] = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    return hit
+
+
 def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, texts = b.id.to_numpy(), K.filled(b.text)
@@ -60,7 +70,7 @@ def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None) -> Iterator
             h, doc = tokens(some)
             s, at = seeds(h, doc)
             if known is not None and len(s):
-                hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+                hit = is_known(s, known)
                 s, at = s[hit], at[hit]
             if not len(s):
                 continue
