@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import kernel as K
+
 # Letters that look alike, by alphabet, beside their Latin twins.
 CYRILLIC, CYRILLIC_LATIN = "аеорсухіјѕһԁԛԝѵАВЕКМНОРСТУХІЈЅԌԚԜ", "aeopcyxijshdqwvABEKMHOPCTYXIJSGQW"
 GREEK, GREEK_LATIN = "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳ", "ovaABEZHIKMNOPTYXj"
@@ -112,7 +114,7 @@ def look_alikes(df: DataFrame, row_id: str, col: str) -> DataFrame:
     any pair is formed. Candidates share the case-folded key; equality of the
     case-preserving look decides.
     """
-    keys = form_keys(df, row_id, col).distinct()
+    keys = K.checkpointed(df.sparkSession, form_keys(df, row_id, col)).distinct()
     mixed = keys.groupBy("folded").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("folded")
     few = keys.join(mixed, "folded", "left_semi")
     a, b = few.alias("a"), few.alias("b")
