@@ -263,7 +263,7 @@ class Scans:
         furniture = self.units.where("kind = 'furniture'").select("id", "line_no", "word_no", "kind", "word", F.lit("").alias("repaired"))
         number = F.udf(digits_of, "string")
         u = self.units.where("kind <> 'furniture'").withColumn("key", lower_first(F.col("word"))).withColumn("alt_key", F.when(F.col("kind") == "hyphen", lower_first(F.col("alt"))))
-        c = self.corrections()
+        c = K.checkpointed(self.units.sparkSession, self.corrections())
         single, several = c.where("before IS NULL").select(F.col("read").alias("key"), F.col("meant").alias("m1"), F.col("surface").alias("f1")), c.where("before IS NOT NULL").select(F.col("read").alias("key"), "before", "after", F.col("meant").alias("m2"), F.col("surface").alias("f2"))
         j = u.join(single, "key", "left").join(several, ["key", "before", "after"], "left")
         # The case of the first letter stays where that letter is right; else the usual spelling has it.
