@@ -242,7 +242,7 @@ class Scans:
         meant = self.words.where((F.col("c") >= MIN_COUNT) | ((F.col("c") == 0) & (F.col("s") > MIN_COUNT))).where(F.length("key") > 1)
         left = suspect.select(F.col("key").alias("read"), (F.col("c") + F.col("s")).alias("n_read"), F.col("c").alias("c_read"), F.explode(_deletes(F.col("key"))).alias("rest"))
         right = meant.select(F.col("key").alias("meant"), "surface", (F.col("c") + F.col("s")).alias("n_meant"), F.col("c").alias("c_meant"), F.explode(_deletes(F.col("key"))).alias("rest"))
-        near = left.join(right, "rest").where("read <> meant AND n_read <= 1 + n_meant * 0.05 AND (c_read = 0 OR c_read <= 0.01 * c_meant)").drop("rest").distinct()
+        near = left.join(right, "rest").where("read <> meant AND abs(length(read) - length(meant)) <= 1 AND levenshtein(read, meant, 2) >= 0 AND n_read <= 1 + n_meant * 0.05 AND (c_read = 0 OR c_read <= 0.01 * c_meant)").drop("rest").distinct()
         scored = near.withColumn("cost", F.pandas_udf(_costs, "double", F.PandasUDFType.SCALAR)("read", "meant")).where(F.col("cost") <= MAX_COST)
         self.repairs = K.checkpointed(spark, scored.select("read", "meant", "surface", "n_meant", "cost").withColumn("choices", F.count("*").over(Window.partitionBy("read"))))
 
