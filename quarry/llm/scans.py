@@ -6,7 +6,10 @@ from a corpus frequency lexicon over all contents: suspects (words that occur
 almost only in scans) and lexicon words meet in a symmetric-delete join (the
 part of a word that can be misread is left out on both sides), the weighted
 edit distance with confusion pairs says how likely the misreading is, and
-neighbouring words decide between several candidates.
+neighbouring words decide between several candidates. An edit that is no
+confusion pair (one character for, or beside, one or two others, in words of
+letters) is believed only where the word that was meant is known beside both
+neighbours.
 
 Running headers are found by their repetition: a short line that no sentence
 end precedes, in several documents. Null and empty contents and contents that
@@ -32,7 +35,7 @@ MIN_COUNT = 2  #: of a lexicon word that corrects others
 MIN_DOCS, MIN_INTERRUPTS = 2, 0.3  #: of a running line
 SIMILAR_LINE = 0.72
 EDGES = ".,;:()\"'«»“”„[]"
-# What is read for what stands there, and how unlikely that is (an edit that is no such pair costs OTHER a character).
+# What is read for what stands there, and how unlikely that is (an edit that is no such pair costs OTHER a character and needs its neighbours).
 CONFUSIONS = {
     ("c", "e"): 0.2, ("!", "i"): 0.1, ("f", "t"): 0.2, ("1", "l"): 0.1, ("0", "o"): 0.1, ("cl", "d"): 0.2, ("v", "u"): 0.25, ("l", "ı"): 0.25, ("rn", "m"): 0.2, ("b", "h"): 0.25,
     ("m", "in"): 0.25, ("ii", "ü"): 0.2, ("h", "li"): 0.25, ("6", "ö"): 0.1, ("m", "rn"): 0.25, ("e", "c"): 0.35, ("t", "f"): 0.35, ("u", "v"): 0.35, ("h", "b"): 0.35, ("d", "cl"): 0.35,
@@ -41,6 +44,9 @@ CONFUSIONS = {
     ("6", "o"): 0.25, ("6", "b"): 0.3, ("9", "g"): 0.3, ("ri", "n"): 0.35, ("n", "ri"): 0.35, ("ı", "l"): 0.35, ("nn", "m"): 0.35, ("5", "s"): 0.25, ("3", "з"): 0.3,
 }
 OTHER, MAX_COST = 1.0, 0.4
+MIN_BESIDE = 2  #: how often the word that was meant stands beside each neighbour, for an edit above MAX_COST
+#: Words whose neighbours are counted are sent to the texts up to so many, else joined by a shuffle.
+BROADCAST_WORDS = 200_000
 # Digits as they are misread.
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"}
 
@@ -235,7 +241,9 @@ class Scans:
         self.units = K.checkpointed(spark, self.pages.join(own, "id", "left").select("id", "content", "keys").mapInPandas(_units, _UNIT))
         said = self.units.where("kind = 'word' OR (kind = 'hyphen' AND word <> '')").select("word", F.lit(0).alias("c"), F.lit(1).alias("s"))
         edge = "[" + re.escape(EDGES).replace("\\'", "'").replace('\\"', '"') + "]+"
-        clean = src.where("NOT scan").select(F.explode(F.split("content", r"\s+")).alias("w")).select(F.regexp_replace(F.regexp_replace("w", f"^{edge}", ""), f"{edge}$", "").alias("word"), F.lit(1).alias("c"), F.lit(0).alias("s"))
+        bare = lambda w: F.regexp_replace(F.regexp_replace(w, f"^{edge}", ""), f"{edge}$", "")
+        clean = src.where("NOT scan").select(F.explode(F.split("content", r"\s+")).alias("w")).select(bare(F.col("w")).alias("word"), F.lit(1).alias("c"), F.lit(0).alias("s"))
+        self.clean_words = src.where("NOT scan").select(F.transform(F.split("content", r"\s+"), bare).alias("w"))
         counts = clean.unionByName(said).where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
         self.words = K.checkpointed(spark, counts.groupBy(lower_first(F.col("word")).alias("key")).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max_by("word", F.struct(F.col("c") + F.col("s"), F.col("word"))).alias("surface")))
         suspect = self.words.where((F.col("s") > 0) & (F.col("c") <= SUSPECT * F.col("s")) & (F.length("key") > 1) & F.col("key").rlike(r"\p{L}") & ~F.col("key").rlike(r"^\P{L}*\p{Lu}?\p{L}?-?[\d.,/-]+$"))
@@ -243,19 +251,29 @@ class Scans:
         left = suspect.select(F.col("key").alias("read"), (F.col("c") + F.col("s")).alias("n_read"), F.col("c").alias("c_read"), F.explode(_deletes(F.col("key"))).alias("rest"))
         right = meant.select(F.col("key").alias("meant"), "surface", (F.col("c") + F.col("s")).alias("n_meant"), F.col("c").alias("c_meant"), F.explode(_deletes(F.col("key"))).alias("rest"))
         near = left.join(right, "rest").where("read <> meant AND abs(length(read) - length(meant)) <= 1 AND levenshtein(read, meant, 2) >= 0 AND n_read <= 1 + n_meant * 0.05 AND (c_read = 0 OR c_read <= 0.01 * c_meant)").drop("rest").distinct()
-        scored = near.withColumn("cost", F.pandas_udf(_costs, "double", F.PandasUDFType.SCALAR)("read", "meant")).where(F.col("cost") <= MAX_COST)
+        # No misreading: another case, a hyphen more or less, two for two characters, a code or number of its own.
+        other = F.col("meant").rlike(r"^[\p{L}\p{M}'’-]+$") & (F.lower("read") != F.lower("meant")) & (F.translate("read", "-", "") != F.translate("meant", "-", "")) & ((F.col("cost") <= OTHER) | (F.length("read") != F.length("meant")))
+        scored = near.withColumn("cost", F.pandas_udf(_costs, "double", F.PandasUDFType.SCALAR)("read", "meant")).where((F.col("cost") <= MAX_COST) | other)
         self.repairs = K.checkpointed(spark, scored.select("read", "meant", "surface", "n_meant", "cost").withColumn("choices", F.count("*").over(Window.partitionBy("read"))))
 
     def corrections(self) -> DataFrame:
         """read, before, after, meant, surface: the best correction of a word, where several compete beside its neighbours."""
-        one = self.repairs.where("choices = 1").select(F.col("read"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), "meant", "surface")
+        alone = (F.col("choices") == 1) & (F.col("cost") <= MAX_COST)
+        one = self.repairs.where(alone).select(F.col("read"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), "meant", "surface")
         words = self.units.where("kind <> 'furniture'").select(lower_first(F.col("word")).alias("key"), "before", "after")
-        pairs = words.groupBy("key", "before").agg(F.count("*").alias("n"))
-        nexts = words.groupBy("key", "after").agg(F.count("*").alias("n"))
-        some = words.withColumnRenamed("key", "read").join(self.repairs.where("choices > 1"), "read").distinct()
+        unsure = K.checkpointed(self.units.sparkSession, self.repairs.where(~alone))
+        asked = unsure.select(F.col("meant").alias("key")).distinct()
+        few = asked.count() <= BROADCAST_WORDS
+        beside = self.clean_words.select(F.explode(F.transform("w", lambda x, i: F.struct(lower_first(x).alias("key"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))).alias("x")).select("x.*")
+        known = words.unionByName(beside).join(F.broadcast(asked) if few else asked, "key", "left_semi")
+        known = K.checkpointed(self.units.sparkSession, known.groupBy("key", "before", "after").agg(F.count("*").alias("n")))
+        pairs = known.groupBy("key", "before").agg(F.sum("n").alias("n"))
+        nexts = known.groupBy("key", "after").agg(F.sum("n").alias("n"))
+        some = words.withColumnRenamed("key", "read").join(unsure, "read").distinct()
         scored = some.join(pairs.select(F.col("key").alias("meant"), "before", F.col("n").alias("n_before")), ["meant", "before"], "left").join(nexts.select(F.col("key").alias("meant"), "after", F.col("n").alias("n_after")), ["meant", "after"], "left")
+        believed = (F.col("cost") <= MAX_COST) | (((F.col("before") == "") | (F.col("n_before") >= MIN_BESIDE)) & ((F.col("after") == "") | (F.col("n_after") >= MIN_BESIDE)) & (F.concat("before", "after") != ""))
         score = 2 * F.log1p(F.coalesce("n_before", F.lit(0))) + 2 * F.log1p(F.coalesce("n_after", F.lit(0))) + F.log("n_meant") - 20 * F.col("cost")
-        best = scored.groupBy("read", "before", "after").agg(F.max_by(F.struct("meant", "surface"), F.struct(score, F.col("meant"))).alias("x"))
+        best = scored.where(believed).groupBy("read", "before", "after").agg(F.max_by(F.struct("meant", "surface"), F.struct(score, F.col("meant"))).alias("x"))
         return one.unionByName(best.select("read", "before", "after", "x.meant", "x.surface"))
 
     def found(self) -> DataFrame:

@@ -362,3 +362,20 @@ def test_scans(spark):
     text = s.paragraphs().first().text
     assert "a beta-blocker of many patients" in text and "Journal" not in text and "blood pressure of many – patients" in text
     assert scans.Scans(spark, df.limit(0)).found().count() == 0
+
+
+def test_scans_repair_misreadings_that_no_list_names(spark):
+    body = "The doctor saw a normal pulse in the morning and a strong signal before the operation. "
+    clean = [(f"c{i}", body * 6 + "Codes AB-12 and AB-12 were kept.") for i in range(8)]
+    page = "\n".join(
+        [
+            "The doctor saw a normol pulse in the morning and a strong siqnal",
+            "before the operation. The doctr saw a normal pulse in the morninng",
+            "and a strong signal before the operation. The doctor saw a normal",
+            "pulze near the operation, and codes AB-17 were kept.",
+        ]
+    )
+    df = spark.createDataFrame([(*r, *NONE) for r in [*clean, ("s", page)]], "id string, content string" + EXTRA)
+    got = {(r.line_no, r.kind, r.repaired) for r in scans.Scans(spark, df).found().collect()}
+    # Beside "near", "pulse" is not known; a code is no misreading of another.
+    assert got == {(1, "ocr", "normal"), (1, "ocr", "signal"), (2, "ocr", "doctor"), (2, "ocr", "morning")}
