@@ -152,8 +152,7 @@ def vector_distances(s, sf):
 def vector_upsert(s, sf):
     """Even vectors as the store, every third vector as new ones: which row stands at which ordinal."""
     e = _t(s, sf, "embeddings").select("vec_id", F.col("label").alias("label"))
-    w = Window.orderBy("vec_id")
-    old = e.where("vec_id % 2 = 0").withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
+    old = retrieval.ordinals(e.where("vec_id % 2 = 0"), "vec_id")
     new = e.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"))
     return retrieval.upsert(old, new, "vec_id").select("vec_id", "label", _long("ordinal"))
 

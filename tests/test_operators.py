@@ -170,3 +170,17 @@ def test_no_cartesian_product(spark, small):
 
     for name in ("bm25_topk", "grounding_sentences"):
         assert "CartesianProduct" not in catalog.queries()[name](spark, small)._jdf.queryExecution().toString()
+
+
+def test_upsert_numbers_rows_in_ranges_of_keys(spark):
+    keys = [f"k{i:04}" for i in range(3000)]
+    df = spark.createDataFrame([(k, 0) for k in reversed(keys)], "id string, v int")
+    old = retrieval.ordinals(df.where("id < 'k2000'"), "id")
+    assert [r.ordinal for r in old.orderBy("id").collect()] == list(range(2000))
+    out = retrieval.upsert(old, df.where("id >= 'k1990'").withColumn("v", F.lit(1)), "id")
+    assert [(r.id, r.ordinal, r.v) for r in out.orderBy("id").collect()] == [(k, i, int(i >= 1990)) for i, k in enumerate(keys)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_bucket#" in plan and "row_number() windowspecdefinition(id#" not in plan
+    assert retrieval.ordinals(df.limit(0), "id").count() == 0
+    some = spark.createDataFrame([(None,), (5,), (3,)], "id int")
+    assert [(r.id, r.ordinal) for r in retrieval.ordinals(some, "id").orderBy("ordinal").collect()] == [(None, 0), (3, 1), (5, 2)]
