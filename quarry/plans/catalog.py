@@ -202,7 +202,7 @@ def triad_scores(s, sf):
 
 def ranking_metrics(s, sf):
     rel = _t(s, sf, "queries").select("query_id", F.explode("expected_chunk_ids").alias("chunk_id")).where("chunk_id IS NOT NULL")
-    return verification.ranking_metrics(retrieval.fuse(_lists(s, sf), limit=1000), rel, 5)
+    return verification.ranking_metrics(retrieval.fuse(_lists(s, sf), limit=None), rel, 5)
 
 
 def auto_labels(s, sf):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, pages, retrieval, verification, views
+from quarry.plans import catalog
 from quarry.sources import corpus, files
 from quarry.streaming import ingest
 
@@ -184,3 +185,10 @@ def test_upsert_numbers_rows_in_ranges_of_keys(spark):
     assert retrieval.ordinals(df.limit(0), "id").count() == 0
     some = spark.createDataFrame([(None,), (5,), (3,)], "id int")
     assert [(r.id, r.ordinal) for r in retrieval.ordinals(some, "id").orderBy("ordinal").collect()] == [(None, 0), (3, 1), (5, 2)]
+
+
+def test_mrr_looks_at_the_whole_fused_list(spark, tmp_path):
+    hits = [("q", f"c{i:05}", "BM25_Sparse", i) for i in range(1, 1501)]
+    frame(spark, hits, "query_id string, chunk_id string, retrieval_type string, rank int").write.parquet(f"{tmp_path}/hits.parquet")
+    frame(spark, [("q", "x", ["c01200"])], "query_id string, query string, expected_chunk_ids array<string>").write.parquet(f"{tmp_path}/queries.parquet")
+    assert [tuple(r) for r in catalog.ranking_metrics(spark, str(tmp_path)).collect()] == [("q", 0.0, 0.0, round(1 / 1200, 6), 0.0)]
