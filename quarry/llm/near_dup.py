@@ -1,12 +1,14 @@
 """Problem 6: groups of near-duplicate records by anchor-point covering.
 
-Each text becomes ``tables`` fingerprints: ``symbols`` full min-hash values and
+Each text becomes one fingerprint a table: ``symbols`` full min-hash values and
 seven one-bit min-hashes, all taken over its distinct word sequences. The
 anchors of a table are all (symbols, codeword) with a codeword of the Hamming
 [7,4] code, whose covering radius is 1. A text lives at its nearest anchor and
 is replicated to every anchor within covering radius plus threshold (1 + 1)
 of its fingerprint; so any two texts whose fingerprints differ in at most one
-bit meet at the home anchor of either, and texts are compared per anchor. The
+bit meet at the home anchor of either, and texts are compared per anchor. There
+are as many tables, of min-hash functions of their own, as keep the share of
+pairs at the threshold that never meet below ``MISS``. The
 pairs that pass are checked exactly on their sets of word sequences.
 
 Texts are compared in the form of problem 2, case counts. Texts with the same
@@ -17,7 +19,9 @@ Null texts and texts below ``min_words`` belong to no group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from quarry.llm import kernel as K
 from quarry.llm.visual_form import digest, form
 
-POOL = 42  #: min-hash functions, shared by the tables; three bits of each are kept for comparing
-TABLES = 9
+MISS = 0.001  #: largest share of pairs just at the threshold that are lost, for ideal min-hashes
+SKETCH = 42  #: min-hash functions of which three bits each are kept for comparing
 SYMBOLS = 2
 BITS = 7  #: length of the Hamming code
 RADIUS = 1  #: its covering radius
@@ -41,9 +45,33 @@ _DISTANCE = np.array([[bin(x ^ c).count("1") for c in _CODEWORDS] for x in range
 #: By fingerprint bits: the anchors within radius plus threshold, the home anchor first.
 ANCHORS = [sorted((int(a) for a in np.flatnonzero(d <= RADIUS + WITHIN)), key=lambda a, d=d: int(d[a])) for d in _DISTANCE]
 
-_RNG = np.random.default_rng(20)
-_SEEDS = _RNG.integers(1, 2**32, POOL, dtype=np.uint32) | np.uint32(1)
-_CHOICE = [_RNG.permutation(POOL)[: SYMBOLS + BITS] for _ in range(TABLES)]
+_NEAR = np.array([[c in a for c in range(len(_CODEWORDS))] for a in ANCHORS])
+_MEET = _NEAR[:, [a[0] for a in ANCHORS]]
+_MEET = _MEET | _MEET.T  #: by two fingerprints' bits: they meet at the home anchor of either
+
+
+@lru_cache
+def tables_for(min_similarity: float) -> int:
+    """The least number of tables in which at most nine tenths of MISS of the pairs at the threshold never meet."""
+    if not 0 < min_similarity <= 1:
+        raise ValueError("min_similarity must be above 0 and at most 1")
+    q = (1 - min_similarity) / 2
+    apart = np.array([[bin(x ^ y).count("1") for y in range(1 << BITS)] for x in range(1 << BITS)])
+    meet = min_similarity**SYMBOLS * float((q**apart * (1 - q) ** (BITS - apart))[_MEET].sum()) / (1 << BITS)
+    return 1 if meet >= 1 - MISS / 2 else math.ceil(math.log(0.9 * MISS) / math.log(1 - meet))
+
+
+@lru_cache
+def max_differ(min_similarity: float) -> int:
+    """How many of SKETCH min-hashes may differ in three bits: at most a tenth of MISS of the pairs at the threshold differ in more."""
+    p = (1 - min_similarity) * 7 / 8
+    tail = [sum(math.comb(SKETCH, i) * p**i * (1 - p) ** (SKETCH - i) for i in range(k + 1, SKETCH + 1)) for k in range(SKETCH + 1)]
+    return next(k for k, t in enumerate(tail) if t <= 0.1 * MISS)
+
+
+@lru_cache
+def _seeds(tables: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 2**32, max(SKETCH, tables * (SYMBOLS + BITS)), dtype=np.uint32) | np.uint32(1)
 
 
 def _grams(texts: list[str], n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,22 +83,23 @@ def _grams(texts: list[str], n: int, min_words: int) -> tuple[np.ndarray, np.nda
     return g[at], gd[at]
 
 
-def _fingerprints(g: np.ndarray, gd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fingerprints(g: np.ndarray, gd: np.ndarray, n_tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts that have any, their (symbols, bits) by table, and two words with three bits of each min-hash."""
     docs, at = K.group_starts(gd)
-    low = np.empty((POOL, len(docs)), np.uint64)
+    seeds = _seeds(n_tables)
+    low = np.empty((len(seeds), len(docs)), np.uint64)
     x = (g >> np.uint64(32)).astype(np.uint32)
     y = np.empty_like(x)
-    for k, seed in enumerate(_SEEDS):
+    for k, seed in enumerate(seeds):
         np.multiply(x, seed, out=y)
         low[k] = np.minimum.reduceat(y, at)
     low = K.mix(low * np.uint64(0x9E3779B97F4A7C15))
     sketch = np.zeros((len(docs), 2), np.uint64)
-    for k in range(POOL):
+    for k in range(SKETCH):
         sketch[:, k // 21] |= (low[k] & np.uint64(7)) << np.uint64(3 * (k % 21))
     bit = low & np.uint64(1)
-    tables = np.empty((len(docs), TABLES), np.uint64)
-    for t, pick in enumerate(_CHOICE):
+    tables = np.empty((len(docs), n_tables), np.uint64)
+    for t, pick in enumerate(np.arange(n_tables * (SYMBOLS + BITS)).reshape(n_tables, -1)):
         s = np.full(len(docs), t + 1, np.uint64)
         for k in pick[:SYMBOLS]:
             s = K.mix(s * np.uint64(0x9E3779B97F4A7C15) + low[k])
@@ -85,7 +114,7 @@ def _texts(df: DataFrame, row_id: str, col: str) -> DataFrame:
     return df.select(F.col(row_id).cast("string").alias("row_id"), F.col(col).alias("text")).where("text IS NOT NULL AND row_id IS NOT NULL")
 
 
-def signatures(df: DataFrame, row_id: str, col: str, n: int, min_words: int) -> DataFrame:
+def signatures(df: DataFrame, row_id: str, col: str, n: int, min_words: int, n_tables: int) -> DataFrame:
     """row_id, rep (64-bit key of the form), tables, and the sketch u, w."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +124,7 @@ def signatures(df: DataFrame, row_id: str, col: str, n: int, min_words: int) ->
                 g, gd = _grams(some, n, min_words)
                 if not len(g):
                     continue
-                docs, tables, sketch = _fingerprints(g, gd)
+                docs, tables, sketch = _fingerprints(g, gd, n_tables)
                 rep = np.array([int(digest(some[d])[:16], 16) for d in docs], np.uint64)
                 yield pd.DataFrame({"row_id": ids[first + docs], "rep": rep.view(np.int64), "tables": list(tables.view(np.int64)), "u": sketch[:, 0].copy().view(np.int64), "w": sketch[:, 1].copy().view(np.int64)})
 
@@ -109,7 +138,7 @@ def _differ(x: Column) -> Column:
 
 
 def candidates(sig: DataFrame, max_differ: int) -> DataFrame:
-    """tbl, a < b: forms that meet at the home anchor of a, with at most so many different min-hashes."""
+    """tbl, a < b: forms that meet at the home anchor of either, with at most so many different min-hashes."""
     reps = sig.groupBy("tbl", "rep").agg(F.first("tables").alias("tables"), F.first("u").alias("u"), F.first("w").alias("w"))
     each = reps.select("tbl", "rep", "u", "w", F.explode("tables").alias("x"))
     at = F.element_at(F.lit(ANCHORS), (F.col("x").bitwiseAND((1 << BITS) - 1) + 1).cast("int"))
@@ -117,7 +146,7 @@ def candidates(sig: DataFrame, max_differ: int) -> DataFrame:
     home = spread.select(F.xxhash64("tbl", "s", F.col("at")[0]).alias("k"), "tbl", F.col("rep").alias("a"), F.col("u").alias("ua"), F.col("w").alias("wa"))
     spots = spread.select("tbl", "s", "rep", "u", "w", F.explode("at").alias("at")).select(F.xxhash64("tbl", "s", "at").alias("k"), F.col("rep").alias("b"), F.col("u").alias("ub"), F.col("w").alias("wb"))
     apart = _differ(F.col("ua").bitwiseXOR(F.col("ub"))) + _differ(F.col("wa").bitwiseXOR(F.col("wb")))
-    return home.join(spots, "k").where(F.col("a") < F.col("b")).where(apart <= max_differ).select("tbl", "a", "b").distinct()
+    return home.join(spots, "k").where(F.col("a") != F.col("b")).where(apart <= max_differ).select("tbl", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
@@ -137,14 +166,12 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
 
 def links(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, str]], n: int, min_similarity: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): tbl, rep, row_id of every text long enough; tbl, a, b of different forms that are similar."""
-    parts = [signatures(df, k, c, n, min_words).select(F.lit(t).alias("tbl"), "*") for t, (df, k, c) in tables.items()]
+    parts = [signatures(df, k, c, n, min_words, tables_for(min_similarity)).select(F.lit(t).alias("tbl"), "*") for t, (df, k, c) in tables.items()]
     sig = parts[0]
     for p in parts[1:]:
         sig = sig.unionByName(p)
     sig = K.checkpointed(spark, sig)
-    # Three bits of a min-hash differ with probability 7/8 (1 - similarity); 3.5 standard deviations are allowed.
-    p = (1 - min_similarity) * 7 / 8
-    cand = K.checkpointed(spark, candidates(sig, int(np.ceil(POOL * p + 3.5 * (POOL * p * (1 - p)) ** 0.5))))
+    cand = K.checkpointed(spark, candidates(sig, max_differ(min_similarity)))
     need = cand.select("tbl", F.explode(F.array("a", "b")).alias("rep")).distinct()
     one = K.checkpointed(spark, sig.join(F.broadcast(need) if cand.count() * 2 <= BROADCAST_IDS else need, ["tbl", "rep"], "left_semi").groupBy("tbl", "rep").agg(F.min("row_id").alias("row_id")))
     small = one.count() <= BROADCAST_IDS

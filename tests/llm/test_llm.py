@@ -106,6 +106,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dup.near_duplicate_pairs(spark, {"t": (df.limit(0), "id", "content")}).count() == 0
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(1000):  # 56 of 80 sequences of three words in common
+        w = [f"w{rng.randrange(10**9)}" for _ in range(70)]
+        rows += [(f"d{k}_0", " ".join(w)), (f"d{k}_1", " ".join(f"v{k}" if i in (10, 25, 40, 55) else x for i, x in enumerate(w)))]
+    df = spark.createDataFrame([(a, b, *NONE) for a, b in rows], "id string, content string" + EXTRA)
+    got = {(r.row_id_1, r.row_id_2) for r in near_dup.near_duplicate_pairs(spark, {"t": (df, "id", "content")}).collect()}
+    assert got <= {(f"d{k}_0", f"d{k}_1") for k in range(1000)} and len(got) >= 995
+
+
 def test_hamming_code_covers():
     assert len(near_dup._CODEWORDS) == 16
     assert all(d.min() <= near_dup.RADIUS for d in near_dup._DISTANCE)
