@@ -6,8 +6,10 @@ survives substituted words there. Test and corpus hashes are joined; around
 each hit the two word sequences are compared along the diagonal.
 
 While the test side is at most ``BROADCAST_HASHES`` hashes (8 bytes each) it is
-sent to the tasks, which then emit only documents with a hit; a larger test
-side is joined by shuffle. Null and empty texts have no words and no hits.
+sent to the tasks, which then emit only documents with a hit. A larger test
+side is joined by shuffle with the hashes alone; the words of documents with a
+hit are then taken in a second pass. Null and empty texts have no words and no
+hits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from quarry.llm import kernel as K
 from quarry.llm.visual_form import look
 
 SPAN = 12
-#: 1: the position counts. Each ignores four of twelve, no position is ignored by all.
+#: 1: the position counts. They count nine, eight and nine of twelve positions; no position is ignored by all.
 MASKS = ("110110110111", "111010011110", "101101111011")
 BROADCAST_HASHES = 4_000_000
 #: A mismatch inside an overlap costs as much as so many matching words.
@@ -63,7 +65,7 @@ def is_known(s: np.ndarray, known: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None, with_words: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, texts = b.id.to_numpy(), K.filled(b.text)
         for first, some in K.blocks(texts):
@@ -82,7 +84,7 @@ def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None) -> Iterator
             yield pd.DataFrame(
                 {
                     "id": ids[first + docs],
-                    "words": [h[x:y].view(np.int64) for x, y in zip(w0, w1, strict=True)],
+                    "words": [h[x:y].view(np.int64) if with_words else None for x, y in zip(w0, w1, strict=True)],
                     "seed": [s[x:y].view(np.int64) for x, y in zip(begin, end, strict=True)],
                     "pos": [(at[x:y] - w).astype(np.int32) for x, y, w in zip(begin, end, w0, strict=True)],
                 }
@@ -92,9 +94,9 @@ def _rows(batches: Iterator[pd.DataFrame], known: np.ndarray | None) -> Iterator
 _SCHEMA = "id long, words array<long>, seed array<long>, pos array<int>"
 
 
-def _scan(df: DataFrame, id_col: str, col: str, known=None) -> DataFrame:
+def _scan(df: DataFrame, id_col: str, col: str, known=None, with_words: bool = True) -> DataFrame:
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return src.mapInPandas(lambda it: _rows(it, known.value if known is not None else None), _SCHEMA)
+    return src.mapInPandas(lambda it: _rows(it, known.value if known is not None else None, with_words), _SCHEMA)
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,12 +129,16 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str =
     test = K.checkpointed(spark, _scan(items, item_id, passage))
     flat = test.select(F.col("id").alias("item_id"), F.explode(F.arrays_zip("seed", "pos")).alias("z")).select("item_id", F.col("z.seed").alias("seed"), F.col("z.pos").alias("item_pos"))
     small = flat.count() <= BROADCAST_HASHES
-    known = None
-    if small:
-        known = spark.sparkContext.broadcast(np.unique(flat.select("seed").distinct().toPandas().seed.to_numpy(np.int64).view(np.uint64)))
-    marked = K.checkpointed(spark, _scan(docs, doc_id, text, known).withColumnRenamed("id", "doc_id"))
+    known = spark.sparkContext.broadcast(np.unique(flat.select("seed").distinct().toPandas().seed.to_numpy(np.int64).view(np.uint64))) if small else None
+    marked = _scan(docs, doc_id, text, known, with_words=small).withColumnRenamed("id", "doc_id")
+    if small:  # documents with a hit only
+        marked = K.checkpointed(spark, marked)
     hits = marked.select("doc_id", F.explode(F.arrays_zip("seed", "pos")).alias("z")).select("doc_id", F.col("z.seed").alias("seed"), F.col("z.pos").alias("doc_pos"))
     met = hits.join(F.broadcast(flat) if small else flat, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))
+    if not small:
+        met = K.checkpointed(spark, met)
+        hit = docs.join(met.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+        marked = _scan(hit, doc_id, text).withColumnRenamed("id", "doc_id")
     side = test.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"))
     both = met.join(marked.select("doc_id", "words"), "doc_id").join(F.broadcast(side) if small else side, "item_id").select("doc_id", "item_id", "shifts", "words", "item_words")
     return both.mapInPandas(_compare, "doc_id long, item_id long, exact_words int, score int, item_word int, doc_word int, n_words int, same_words int").groupBy("doc_id", "item_id").agg(F.max_by(F.struct("exact_words", "score", "item_word", "doc_word", "n_words", "same_words"), F.struct("exact_words", "score", "doc_word")).alias("x")).select("doc_id", "item_id", "x.*")

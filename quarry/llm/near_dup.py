@@ -9,7 +9,8 @@ of its fingerprint; so any two texts whose fingerprints differ in at most one
 bit meet at the home anchor of either, and texts are compared per anchor. There
 are as many tables, of min-hash functions of their own, as keep the share of
 pairs at the threshold that never meet below ``MISS``. The
-pairs that pass are checked exactly on their sets of word sequences.
+pairs that pass are checked exactly on their sets of word sequences. Texts of
+an anchor that many call home are compared in parts, in tasks of their own.
 
 Texts are compared in the form of problem 2, case counts. Texts with the same
 form are collapsed before fingerprints travel; only 64-bit keys are shuffled
@@ -39,6 +40,9 @@ RADIUS = 1  #: its covering radius
 WITHIN = 1  #: largest distance of two fingerprints that must meet
 #: Texts of candidates are fetched by broadcast up to so many ids (about 64 bytes each), else by a shuffled join.
 BROADCAST_IDS = 500_000
+#: An anchor that more texts of a table call home is hot: its texts are compared in SALTS parts.
+HOT, SALTS = 1_000, 32
+BROADCAST_HOT = 200_000  #: hot anchors that are sent to the tasks, 8 bytes each; more are joined by a shuffle
 
 _CODEWORDS = [c for c in range(128) if not (bin(c & 0b1010101).count("1") % 2 or bin(c & 0b1100110).count("1") % 2 or bin(c & 0b1111000).count("1") % 2)]
 _DISTANCE = np.array([[bin(x ^ c).count("1") for c in _CODEWORDS] for x in range(1 << BITS)])
@@ -145,8 +149,17 @@ def candidates(sig: DataFrame, max_differ: int) -> DataFrame:
     spread = each.select("tbl", "rep", "u", "w", F.shiftrightunsigned("x", BITS).alias("s"), at.alias("at"))
     home = spread.select(F.xxhash64("tbl", "s", F.col("at")[0]).alias("k"), "tbl", F.col("rep").alias("a"), F.col("u").alias("ua"), F.col("w").alias("wa"))
     spots = spread.select("tbl", "s", "rep", "u", "w", F.explode("at").alias("at")).select(F.xxhash64("tbl", "s", "at").alias("k"), F.col("rep").alias("b"), F.col("u").alias("ub"), F.col("w").alias("wb"))
+    hot = K.checkpointed(sig.sparkSession, home.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("k"))
+    n_hot = hot.count()
+    if n_hot:
+        sent = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+        some = home.join(sent, "k", "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        met = home.join(sent, "k", "left_anti").join(spots.join(sent, "k", "left_anti"), "k")
+        met = met.unionByName(some.join(spots.join(sent, "k", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["k", "salt"]).drop("salt"))
+    else:
+        met = home.join(spots, "k")
     apart = _differ(F.col("ua").bitwiseXOR(F.col("ub"))) + _differ(F.col("wa").bitwiseXOR(F.col("wb")))
-    return home.join(spots, "k").where(F.col("a") != F.col("b")).where(apart <= max_differ).select("tbl", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(F.col("a") != F.col("b")).where(apart <= max_differ).select("tbl", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:

@@ -20,6 +20,12 @@ def _by_table(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("tbl"), "*") for t, df in parts.items()])
 
 
+def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The consistent form of every content, and that without regard to case."""
+    keyed = {t: (_t(spark, sf, t), k) for t, k in (("corpus_documents", "id"), ("corpus_chunks", "chunk_id"))}
+    return _by_table({t: visual_form.with_form(df, "content", "form", "folded").select(F.col(k).alias("row_id"), "form", "folded") for t, (df, k) in keyed.items()})
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _by_table({t: visual_form.look_alikes(_t(spark, sf, t), k, "content") for t, k in (("corpus_documents", "id"), ("corpus_chunks", "chunk_id"))})
 
@@ -56,6 +62,10 @@ def p7_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fit(p7_packing(spark, sf), _t(spark, sf, "pack_budgets"))
 
 
+def p7_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.whole(p7_packing(spark, sf), _t(spark, sf, "pack_budgets"))
+
+
 def _languages(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     docs, corpus = _t(spark, sf, "documents"), _t(spark, sf, "corpus_documents")
     models = language.train(spark, docs, "doc_id", "text", F.col("lang"))

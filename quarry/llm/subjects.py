@@ -1,13 +1,15 @@
 """Problem 9: subject areas of documents.
 
 One-versus-rest linear classifiers over hashed words and word pairs are fitted
-to sentences whose weak label is the subject in the path of their file. Every
+to sentences whose weak label is the subject in the path of their file or,
+where the path names none, the subject of their section in the metadata. Every
 sentence of every document is scored; a document has a subject when at least a
 quarter of its sentences belong to it. How sure a sentence must be is
-calibrated for each subject on documents labelled by hand.
+calibrated for each subject on all documents labelled by hand.
 
-Both samples are bounded (``TRAIN_DOCS`` a subject, ``CALIBRATION_DOCS``) and
-taken in a hash order. Null, empty and sentence-free texts have no subject.
+The sample that the classifiers are fitted to is bounded (``TRAIN_DOCS`` a
+subject) and taken in a hash order. Null, empty and sentence-free texts have no
+subject.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from quarry.llm.visual_form import form
 
 HASH_BITS = 17
 TRAIN_DOCS = 160
-CALIBRATION_DOCS = 4000
+MIN_SECTION, SECTION_SHARE = 20, 0.8  #: documents of a section that name a subject, and their share
 SHARE = 0.25
 EPOCHS, BATCH, RATE = 4, 512, 0.5
 MARGINS = np.round(np.arange(-3.0, 2.01, 0.25), 2)  #: tried for calibration
@@ -87,15 +89,31 @@ def _sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.withColumn("h", F.xxhash64("id")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")
 
 
-def train(docs: DataFrame, doc_id: str, text: str, path: Column, subjects: list[str]) -> np.ndarray:
-    """Weights from weak labels: the first word of the file name in the path, where that is a subject."""
-    stem = F.regexp_extract(F.lower(path), r"([a-z]+)_[^/]*$", 1)
-    known = docs.select(F.col(doc_id).alias("id"), stem.alias("subject")).where(F.col("subject").isin(subjects))
-    few = _sample(known, ["subject"], TRAIN_DOCS)
+def weak_labels(docs: DataFrame, doc_id: str, path: Column, section: Column | None, subjects: list[str]) -> DataFrame:
+    """id, subject: the first word of the file name in the path, where that is a subject; else the subject of the section.
+
+    A section (a value of the metadata) names a subject where at least
+    SECTION_SHARE of MIN_SECTION or more documents that have it, and a subject
+    in their path, agree on that subject.
+    """
+    known = docs.select(F.col(doc_id).alias("id"), F.regexp_extract(F.lower(path), r"([a-z]+)_[^/]*$", 1).alias("stem"), (section if section is not None else F.lit(None).cast("string")).alias("section"))
+    known = known.withColumn("subject", F.when(F.col("stem").isin(subjects), F.col("stem"))).where("id IS NOT NULL")
+    if section is None:
+        return known.where("subject IS NOT NULL").select("id", "subject")
+    by = known.where("subject IS NOT NULL AND section IS NOT NULL").groupBy("section", "subject").agg(F.count("*").alias("n"))
+    best = by.groupBy("section").agg(F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("x")).where((F.col("all") >= MIN_SECTION) & (F.col("x.n") >= SECTION_SHARE * F.col("all")))
+    named = known.join(best.select("section", F.col("x.subject").alias("of_section")), "section", "left")
+    return named.select("id", F.coalesce("subject", "of_section").alias("subject")).where("subject IS NOT NULL")
+
+
+def train(docs: DataFrame, doc_id: str, text: str, path: Column, subjects: list[str], section: Column | None = None) -> tuple[np.ndarray, list[str]]:
+    """Weights from weak labels, and the subjects they stand for: those of the given ones that any label names."""
+    few = _sample(weak_labels(docs, doc_id, path, section, subjects), ["subject"], TRAIN_DOCS)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").where("text IS NOT NULL").orderBy("h", "id").select("subject", "text").toPandas()
     if not len(rows):
         raise ValueError("no document has a subject in its path")
-    return fit([form(t) for t in rows.text], rows.subject.map(subjects.index).to_numpy(), len(subjects))
+    trained = sorted(set(rows.subject))
+    return fit([form(t) for t in rows.text], rows.subject.map(trained.index).to_numpy(), len(trained)), trained
 
 
 def belonging(spark: SparkSession, weights: np.ndarray, margins: np.ndarray, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,30 +147,34 @@ def belonging(spark: SparkSession, weights: np.ndarray, margins: np.ndarray, doc
 
 
 def calibrate(spark: SparkSession, weights: np.ndarray, docs: DataFrame, labels: DataFrame, subjects: list[str]) -> np.ndarray:
-    """The margin of each subject with which the hand labels are met best (F1); of all subjects together where it has few labels."""
-    few = _sample(labels.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct(), [], CALIBRATION_DOCS).withColumnRenamed("id", "doc_id")
-    tried = np.repeat(MARGINS[:, None], len(subjects), axis=1)
-    got = belonging(spark, weights, tried, docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).toPandas()
-    if got.empty:
-        return np.zeros(len(subjects))
-    marks = labels.join(F.broadcast(few), "doc_id", "left_semi").where(F.col("subject").isin(subjects)).select("doc_id", "subject").distinct().toPandas()
-    truth = np.zeros((len(got), len(subjects)), bool)
-    row = pd.Series(np.arange(len(got)), index=got.doc_id)
-    marks = marks[marks.doc_id.isin(row.index)]
-    truth[row[marks.doc_id].to_numpy(), marks.subject.map(subjects.index).to_numpy()] = True
-    of = np.stack(got.n_of.to_list()).reshape(len(got), len(MARGINS), len(subjects))
-    said = of >= SHARE * got.n_sentences.to_numpy()[:, None, None]
-    hit, any_ = (said & truth[:, None]).sum(axis=0), said.sum(axis=0) + truth.sum(axis=0)
+    """The margin of each subject with which all hand labels are met best (F1); of all subjects together where it has few labels.
+
+    Every labelled document counts; only sums by margin and subject reach the driver.
+    """
+    k = len(subjects)
+    marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_set("subject").alias("marks"))
+    tried = np.repeat(MARGINS[:, None], k, axis=1)
+    named = F.array(*[F.lit(x) for x in subjects])
+    got = belonging(spark, weights, tried, docs.join(marks.select("doc_id"), "doc_id", "left_semi")).join(marks, "doc_id")
+    each = got.select("n_sentences", "marks", F.posexplode("n_of").alias("i", "n")).select((F.col("i") / k).cast("int").alias("margin"), (F.col("i") % k).alias("subject"), (F.col("n") >= SHARE * F.col("n_sentences")).alias("said"), F.array_contains("marks", F.get(named, F.col("i") % k)).alias("true"))
+    sums = each.groupBy("margin", "subject").agg(F.count_if(F.col("said") & F.col("true")).alias("hit"), F.count_if("said").alias("said"), F.count_if("true").alias("true")).toPandas()
+    if sums.empty:
+        return np.zeros(k)
+    hit, any_, true = (np.zeros((len(MARGINS), k)) for _ in range(3))
+    hit[sums.margin, sums.subject], any_[sums.margin, sums.subject], true[sums.margin, sums.subject] = sums.hit, sums.said + sums.true, sums.true
     middle = lambda f: MARGINS[np.flatnonzero(f >= f.max() - 1e-9)].mean()
     overall = middle(2 * hit.sum(axis=1) / np.maximum(any_.sum(axis=1), 1))
-    own = [middle(2 * hit[:, k] / np.maximum(any_[:, k], 1)) if truth[:, k].sum() >= MIN_LABELLED else overall for k in range(len(subjects))]
+    own = [middle(2 * hit[:, i] / np.maximum(any_[:, i], 1)) if true[0, i] >= MIN_LABELLED else overall for i in range(k)]
     return np.array(own)
 
 
 def classify(spark: SparkSession, docs: DataFrame, corpus: DataFrame, labels: DataFrame, subjects_table: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, subject, sentences: a row for each document and subject with any sentence of its own, or null subject without any."""
-    subjects = sorted(r.subject for r in subjects_table.select("subject").where("subject IS NOT NULL").distinct().limit(1000).collect())
-    w = train(corpus, "id", "content", F.col("file_name"), subjects)
+    """doc_id, n_sentences, subject, sentences: a row for each document and subject with any sentence of its own, or null subject without any.
+
+    Every subject of the table may be found for which a weak label exists.
+    """
+    listed = sorted(r.subject for r in subjects_table.select("subject").where("subject IS NOT NULL").distinct().collect())
+    w, subjects = train(corpus, "id", "content", F.col("file_name"), listed, F.col("metadata")["Journal"])
     margins = calibrate(spark, w, docs, labels, subjects)
     found = belonging(spark, w, margins[None], docs)
     named = F.expr("filter(transform(n_of, (n, i) -> struct(i, n)), x -> x.n > 0)")

@@ -2,8 +2,9 @@
 
 Compatibility normalisation to composed form, removal of default-ignorable
 characters, mapped white space and hyphens, and look-alike letters of another
-alphabet brought to the alphabet of their word. Full case folding gives a
-second, coarser key; the form itself keeps case, since a reader sees it.
+alphabet brought to the alphabet of their word. The form keeps case, since a
+reader sees it; beside it stands its full case folding, for comparisons that
+ignore case.
 
 Superscripts, subscripts, fractions and circled characters stay: a reader can
 tell them from plain digits and letters. Null texts have no form (null), the
@@ -30,6 +31,8 @@ GREEK, GREEK_LATIN = "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳ", "ovaABEZHIKMNOPTYXj
 HYPHENS = "\u2010\u2011\u2012\u2212\ufe63\uff0d"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
+SALTS = 8  #: parts of the rows of one text
+
 _IGNORABLES = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff"
 _IGNORABLE = re.compile(f"[{_IGNORABLES}]")
 _TOUCHED = re.compile(rf"[{_IGNORABLES}{re.escape(HYPHENS + SPACES)}\r\u0085\u2028\u2029\u0370-\u052f]")
@@ -85,37 +88,52 @@ def _once(f, values: pd.Series) -> pd.Series:
     return pd.Series([known.get(v) if isinstance(v, str) else None for v in values], index=values.index, dtype=object)
 
 
-def with_form(df: DataFrame, col: str = "content", to: str = "form") -> DataFrame:
-    """df and a column of consistent forms; nulls stay null. An existing column of that name is replaced."""
+def folded(text: str) -> str:
+    """The full case folding of the form, composed again."""
+    return unicodedata.normalize("NFC", form(text).casefold())
+
+
+def with_form(df: DataFrame, col: str = "content", to: str = "form", fold_to: str | None = None) -> DataFrame:
+    """df and a column of consistent forms, and of case-folded ones where fold_to names it; nulls stay null. Existing columns of these names are replaced."""
 
     @F.pandas_udf("string")
     def forms(s: pd.Series) -> pd.Series:
         return _once(form, s)
 
-    return df.withColumn(to, forms(F.col(col)))
+    @F.pandas_udf("string")
+    def folds(s: pd.Series) -> pd.Series:
+        return _once(folded, s)
+
+    out = {to: forms(F.col(col))}
+    if fold_to:
+        out[fold_to] = folds(F.col(col))
+    return df.withColumns(out)
 
 
 def form_keys(df: DataFrame, row_id: str, col: str) -> DataFrame:
-    """row_id, and 128-bit keys of the text, of what a reader sees of it, and of that case-folded. Null texts drop out."""
+    """row_id, and 128-bit keys of the text and of what a reader sees of it. Null texts drop out."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = _once(look, b.text)
-            yield pd.DataFrame({"row_id": b.row_id, "raw": _once(digest, b.text), "seen": _once(digest, seen), "folded": _once(lambda t: digest(t.casefold()), seen)})
+            yield pd.DataFrame({"row_id": b.row_id, "raw": _once(digest, b.text), "seen": _once(lambda t: digest(look(t)), b.text)})
 
     src = df.select(F.col(row_id).cast("string").alias("row_id"), F.col(col).alias("text")).where("text IS NOT NULL AND row_id IS NOT NULL")
-    return src.mapInPandas(keys, "row_id string, raw string, seen string, folded string")
+    return src.mapInPandas(keys, "row_id string, raw string, seen string")
 
 
 def look_alikes(df: DataFrame, row_id: str, col: str) -> DataFrame:
     """Pairs of rows whose texts differ in their characters but look the same: row_id_1 < row_id_2.
 
-    Keys alone are shuffled. Groups in which all texts are identical go before
-    any pair is formed. Candidates share the case-folded key; equality of the
-    case-preserving look decides.
+    Keys alone are shuffled. Pairs are formed of distinct texts, so copies of
+    one text meet nobody; the rows of either text come to its pairs afterwards,
+    in SALTS parts, so no task holds all copies of a text.
     """
-    keys = K.checkpointed(df.sparkSession, form_keys(df, row_id, col)).distinct()
-    mixed = keys.groupBy("folded").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("folded")
-    few = keys.join(mixed, "folded", "left_semi")
-    a, b = few.alias("a"), few.alias("b")
-    return a.join(b, F.expr("a.folded = b.folded AND a.seen = b.seen AND a.raw <> b.raw AND a.row_id < b.row_id")).select(F.col("a.row_id").alias("row_id_1"), F.col("b.row_id").alias("row_id_2")).distinct()
+    keys = K.checkpointed(df.sparkSession, form_keys(df, row_id, col).distinct())
+    mixed = keys.groupBy("seen").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("seen")
+    few = keys.join(mixed, "seen", "left_semi").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    texts = few.select("seen", "raw").distinct()
+    pairs = texts.withColumnRenamed("raw", "a").join(texts.withColumnRenamed("raw", "b"), "seen").where("a < b").select("a", "b")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = pairs.select("a", "b", salts.alias("salt")).join(few.select(F.col("raw").alias("a"), "salt", F.col("row_id").alias("x")), ["a", "salt"])
+    both = left.join(few.select(F.col("raw").alias("b"), F.col("row_id").alias("y"), salts.alias("salt")), ["b", "salt"])
+    return both.where("x <> y").select(F.least("x", "y").alias("row_id_1"), F.greatest("x", "y").alias("row_id_2")).distinct()
