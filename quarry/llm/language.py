@@ -3,8 +3,11 @@
 A suffix automaton per language is built over labelled text. A sentence is
 parsed greedily into the longest pieces found in the automaton; the language
 that needs fewest pieces for the length wins, and how much the runner-up needs
-more is the confidence. Sentences of a block of texts are parsed side by side,
-one array operation for each character position and language.
+more is the confidence; where a script has one language only, the runner-up is
+its own text with the letters shuffled. A sentence that needs nearly as many
+pieces as shuffled letters is in no known language (``und``). Sentences of a
+block of texts are parsed side by side, one array operation for each character
+position and language.
 
 Labels are dirty, so the labelled sample is first parsed with automata of its
 other half, and sentences that another language explains better are left out.
@@ -31,6 +34,7 @@ TRAIN_CHARS = 14_000  #: of them in the automaton of a language
 MIN_LETTERS = 20  #: of a whole sentence
 MIN_PER_LINE = 12  #: letters a line on average; fewer are headers and footers of pages
 SURE = 0.15  #: confidence of a sentence that counts
+UNKNOWN = 0.85  #: pieces of a sentence, as a share of those of shuffled letters, from which it is in no known language
 #: Spellings of language labels, lower case; a region after "-" or "_" is cut first.
 LABELS = {
     "tr": ["tr", "tur", "turkish", "türkçe", "turkce"],
@@ -99,6 +103,13 @@ class Models:
         self.base = np.cumsum([0, *(t.size for t in tables[:-1])])
         self.table = np.concatenate([t.ravel() for t in tables])
         self._map = None
+        self.null = np.array([self._shuffled(sample[x], i) for i, x in enumerate(self.langs)])  #: pieces a letter of shuffled text
+
+    def _shuffled(self, text: str, lang: int) -> float:
+        sym = self.symbols(code_points(text))[0].copy()
+        np.random.default_rng(5).shuffle(sym)
+        pieces = self.parse(sym, np.zeros(1, np.int64), np.array([len(sym)]), np.array([lang]))
+        return float(pieces[0, 0]) / max(int((sym != 0).sum()), 1)
 
     @property
     def width(self) -> int:
@@ -107,7 +118,7 @@ class Models:
     def symbols(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without repeated 0, and the position of each in cp. Letters unknown to all languages share one symbol."""
         if self._map is None:
-            m = np.zeros(0x10000, np.uint8)
+            m = np.zeros(0x10000, np.uint16)
             for i in range(0x10000):
                 if chr(i).isalpha():
                     m[i] = self.width - 1
@@ -154,7 +165,10 @@ def code_points(text: str) -> np.ndarray:
 
 
 def detect(models: Models, texts: list[str]) -> pd.DataFrame:
-    """doc, start, stop, lang, confidence, whole: a row for each sentence; whole: it is long enough and has an end mark."""
+    """doc, start, stop, lang, confidence, whole: a row for each sentence; whole: it is long enough and has an end mark.
+
+    lang is an index into models.langs, or their number where a sentence is in no known language.
+    """
     cp, begin = K.code_points(texts)
     stop = np.append(begin[1:], len(cp))
     sym, at = models.symbols(cp)
@@ -175,13 +189,13 @@ def detect(models: Models, texts: list[str]) -> pd.DataFrame:
         rows = np.flatnonzero((is_cyr == script) & (n_letters > 0))
         if not len(rows) or not len(among):
             continue
-        if len(among) == 1:
-            lang[rows], conf[rows] = among[0], 1.0
-            continue
         pieces = models.parse(sym, lo[rows], hi[rows] - lo[rows], among)
-        two = np.partition(pieces, 1, axis=0)[:2]
-        lang[rows] = among[pieces.argmin(axis=0)]
-        conf[rows] = (two[1] - two[0]) / np.maximum(two[1], 1)
+        best = pieces.argmin(axis=0)
+        none = models.null[among[best]] * n_letters[rows]
+        two = np.partition(pieces, 1, axis=0)[:2] if len(among) > 1 else np.stack([pieces[0], np.maximum(none, pieces[0])])
+        known = (n_letters[rows] < MIN_LETTERS) | (two[0] < UNKNOWN * none)
+        lang[rows] = np.where(known, among[best], len(models.langs))
+        conf[rows] = np.where(known, (two[1] - two[0]) / np.maximum(two[1], 1), 0.0)
     # The last character of a sentence is its end mark, unless the text stops without one.
     last = np.minimum(e, stop[doc] - 1) - 1
     out = pd.DataFrame({"doc": doc, "start": s - begin[doc], "stop": last + 1 - begin[doc], "lang": lang, "confidence": conf, "letters": n_letters, "whole": running & (n_letters >= MIN_LETTERS) & (conf >= SURE) & end[np.maximum(last, 0)]})
@@ -214,7 +228,7 @@ def train(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, label: C
                 continue
             got = detect(m, [x.replace("\n", " ") for x in sentences])
             main = got.sort_values("letters").groupby("doc").lang.last()
-            kept.setdefault(lang, []).extend(sentences[d] for d, x in main.items() if m.langs[x] == lang)
+            kept.setdefault(lang, []).extend(sentences[d] for d, x in main.items() if x < len(m.langs) and m.langs[x] == lang)
     return Models({lang: s for lang, s in kept.items() if s})
 
 
@@ -225,14 +239,15 @@ def segments(spark: SparkSession, models: Models, df: DataFrame, row_id: str, te
     """row_id, label (a code or null) and segments: runs of sentences in one language, with offsets and confidence.
 
     Sentences that two languages explain equally well go to the main language
-    of the text, that is the one with most letters. Texts without a whole
-    sentence have no segments.
+    of the text, that is the one with most letters; sentences in no known
+    language are segments of their own (und). Texts without a whole sentence
+    have no segments.
     """
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        names = np.array(m.langs, object)
+        names = np.array([*m.langs, "und"], object)
         for b in batches:
             ids, labels, texts = b.row_id.to_numpy(), b.label.to_numpy(), [form(t) for t in b.text]
             for first, some in K.blocks(texts):
@@ -242,7 +257,7 @@ def segments(spark: SparkSession, models: Models, df: DataFrame, row_id: str, te
                 doc, lang, conf, letters = (d[c].to_numpy().copy() for c in ("doc", "lang", "confidence", "letters"))
                 size = np.zeros((len(some), len(names)))
                 np.add.at(size, (doc, lang), letters * (conf > 0))
-                tie = conf == 0
+                tie = (conf == 0) & (lang < len(m.langs))
                 lang[tie] = np.where(size[doc[tie]].max(axis=1) > 0, size[doc[tie]].argmax(axis=1), lang[tie])
                 new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
                 last = np.append(new[1:], len(doc)) - 1
@@ -264,7 +279,8 @@ def segments(spark: SparkSession, models: Models, df: DataFrame, row_id: str, te
 
 
 def languages(found: DataFrame, min_sentences: int = 2) -> DataFrame:
-    """row_id, label, lang, is_main, sentences, confidence: the main language of each text and others with enough whole sentences."""
+    """row_id, label, lang, is_main, sentences, confidence: the main language of each text and others with enough whole sentences; und is none."""
+    found = found.withColumn("segments", F.filter("segments", lambda s: s["lang"] != "und"))
     each = found.select("row_id", "label", F.expr("transform(array_distinct(segments.lang), l -> struct(l AS lang, aggregate(filter(segments, s -> s.lang = l), 0, (a, s) -> a + s.letters) AS letters, aggregate(filter(segments, s -> s.lang = l), 0, (a, s) -> a + s.sentences) AS sentences, aggregate(filter(segments, s -> s.lang = l), 0D, (a, s) -> a + s.letters * s.confidence) AS mass))").alias("x"))
     main = each.withColumn("main", F.expr("array_max(transform(x, y -> struct(y.letters AS letters, y.lang AS lang))).lang"))
     flat = main.select("row_id", "label", "main", F.explode("x").alias("x"))

@@ -1,28 +1,30 @@
 """Problem 3: true sentences of answers whose cells were cut at the wrong places.
 
 Segmentation rules are tables of (break?, before, after) regular-expression
-pairs. A script selects a cascade of tables; at each possible end the pairs
-are tried in order and the first that matches decides. Quotations and brackets
-that are still open at a position take precedence: nothing ends inside them.
-
-The cells of an answer are put together in order of their index. Very long
-answers are cut into stretches of ``STRETCH`` cells that see ``CONTEXT`` cells
-on either side, so no group grows without bound. Null cells are skipped;
-repeated rows count once; of different cells with one index the greatest text
-is taken.
+pairs. A line's language selects a cascade of tables: signs that lie open, the
+rules of that language, those of its neighbours for borrowed words, and what
+all share; at each possible end the pairs are tried in order and the first that
+matches decides. The text before a position starts with a sign where that lies
+in a quotation or bracket that is closed again, so the tables see this, too.
+
+The cells of an answer are put together in order of their index. No sentence
+goes over a line break, so answers of indices beyond ``STRETCH`` are taken line
+by line, each line whole; others are one unit. Null cells are skipped; repeated
+rows count once; of different cells with one index the greatest text is taken.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH, CONTEXT = 256, 8
+STRETCH = 256  #: cells of an answer that is one unit
 
 _OPEN = "([{\"“„«‹「『‘'¿¡"
 _UPPER = r"[\"“„«‹‘(\[¿¡]*\s?[A-ZÀ-ÖØ-ÞĞİŞŒА-ЯЁ]"
@@ -63,6 +65,10 @@ def _table(lang: str) -> list[tuple[bool, str, str]]:
     return rules
 
 
+#: Signs that stand before the text of a position: it lies within a quotation or bracket, or ends one that begins the sentence.
+INSIDE, SAID = "\ue000", "\ue001"
+_OPENED = [(False, f"^{INSIDE}", r""), (False, f"^{SAID}", r"\S")]  # a quotation that begins the sentence, the speaker follows
+_THAI = [(True, r"[\u0e00-\u0e7f]$", r"[\u0e00-\u0e7f]")]  # a space between letters of a script without end marks
 _SHARED = [
     (False, r"[=<>≤≥~] ?\d+[.,]$", r"\d"),  # a decimal with a stray space
     (False, r"(?:^|[^\w])[A-ZÀ-ÖØ-ÞĞİŞА-ЯЁ]\.$", _UPPER),  # initials
@@ -71,23 +77,34 @@ _SHARED = [
     (True, r"", r""),
 ]
 _LATIN = ["tr", "en", "de", "fr", "es", "pt"]
-#: By script: the cascade of rule tables.
-CASCADES = {
-    "latin": [r for lang in _LATIN for r in _table(lang)] + _SHARED,
-    "cyrillic": _table("ru") + _SHARED,
-    "devanagari": _table("hi") + [r for lang in _LATIN for r in _table(lang)[:1]] + _SHARED,
-    "arabic": _table("ar") + _SHARED,
-    "han": [(False, r"[」』”）)]$", r"[とっ、。，]"), (False, r"", r"[、，,：:]"), (True, r"", r"")],
-}
+# Frequent words by which a Latin language is told from the others.
+FREQUENT = {
+    "tr": "ve bir bu için ile olarak daha ancak göre sonra olan çok", "en": "the of and was were is with that for not this by", "de": "der die das und nicht mit wurde war ein eine den von",
+    "fr": "le la les des une est dans pour pas été par qui", "es": "el los las una del fue con para por que se como", "pt": "o os as uma do da foi com não para por em",
+}
+
+
+def _cascade(lang: str) -> list[tuple[bool, str, str]]:
+    """The tables of a language: what lies open, its own rules, those of the other languages for words it borrows, what all share."""
+    if lang == "han":
+        return [*_OPENED, *_THAI, (False, r"[」』”）)]$", r"[とっ、。，]"), (False, r"", r"[、，,：:]"), (True, r"", r"")]
+    others = [x for x in _LATIN if x != lang] if lang in _LATIN else []
+    titles = [r for x in _LATIN for r in _table(x)[:1]] if lang == "hi" else []
+    return [*_OPENED, *_THAI, *(_table(lang) if lang in ABBREVIATIONS else []), *(r for x in others for r in _table(x)), *titles, *_SHARED]
+
+
+#: By language (a script where it has one language here; "latin" where none of the Latin ones is told): the cascade of rule tables.
+CASCADES = {x: _cascade(x) for x in [*_LATIN, "ru", "hi", "ar", "han"]} | {"latin": [*_OPENED, *_THAI, *(r for x in _LATIN for r in _table(x)), *_SHARED]}
 _RULES = {s: [(yes, re.compile(b), re.compile(a)) for yes, b, a in t] for s, t in CASCADES.items()}
-_CANDIDATE = re.compile("[.!?…]+(?:[ \\u00a0\\u202f]?[»›]|[\"”’“)\\]}」』）】])*|(?:[。！？｡]+|।+|؟+|۔+)[\"”’»)\\]}」』）】]*")
+_CANDIDATE = re.compile("[.!?…]+(?:[ \\u00a0\\u202f]?[»›]|[\"”’“)\\]}」』）】])*|(?:[。！？｡]+|।+|؟+|۔+)[\"”’»)\\]}」』）】]*|(?<=[\u0e00-\u0e7f])(?=\\s+[\u0e00-\u0e7f])")
 _WIDE = re.compile(r"[。！？｡」』）】]")
 _QUOTE = re.compile(r"[\"“”„«»「」『』‹›()（）\[\]]")
 _CLOSERS = "»›\"”’“)]}」』）】 \u00a0\u202f"
 _PAIRS = {"「": "」", "『": "』", "«": "»", "‹": "›", "(": ")", "（": "）", "[": "]"}
 _CLOSING = set(_PAIRS.values())
-_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
-_SCRIPTS = [("han", re.compile(r"[぀-ヿ㐀-鿿]")), ("devanagari", re.compile(r"[ऀ-ॿ]")), ("arabic", re.compile(r"[؀-ۿ]")), ("cyrillic", re.compile(r"[А-яЁё]"))]
+_SCRIPTS = [("han", re.compile(r"[぀-ヿ㐀-鿿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("ru", re.compile(r"[А-яЁё]"))]
+_TELLING = {w: [x for x in _LATIN if w in FREQUENT[x].split()] for words in FREQUENT.values() for w in words.split()}
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
@@ -116,10 +133,38 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _script(text: str) -> str:
+def _language(text: str) -> str:
+    """The cascade for a line: its script's, of the Latin ones that of the language whose frequent words it has most of."""
     count = {name: len(rx.findall(text)) for name, rx in _SCRIPTS}
     best = max(count, key=count.get)
-    return best if 2 * count[best] > sum(c.isalpha() for c in text) * 0.5 else "latin"
+    if 2 * count[best] > sum(c.isalpha() for c in text) * 0.5:
+        return best
+    votes = Counter(x for w in _WORD.findall(text) for x in _TELLING.get(w.lower(), ()))
+    two = votes.most_common(2)
+    return two[0][0] if two and (len(two) == 1 or two[0][1] > two[1][1]) else "latin"
+
+
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Outermost spans as sorted openings and closings."""
+    opens: list[int] = []
+    closes: list[int] = []
+    for o, c in sorted(spans):
+        if not closes or o > closes[-1]:
+            opens.append(o)
+            closes.append(c)
+        elif c > closes[-1]:  # crossing ones count as one
+            closes[-1] = c
+    return opens, closes
+
+
+def _words_before(s: str, begin: int, a: int) -> int:
+    """Where the fourth word before a position begins, not before the sentence; no abbreviation has more words."""
+    i = a
+    for _ in range(4):
+        i = max(s.rfind(" ", begin, i), s.rfind("\u00a0", begin, i), s.rfind("\t", begin, i))
+        if i < 0:
+            return begin
+    return i + 1
 
 
 def ends(text: str) -> list[int]:
@@ -130,8 +175,10 @@ def ends(text: str) -> list[int]:
         stop = len(s.rstrip())
         if not s.strip():
             continue
-        rules = _RULES[_script(s)]
+        rules = _RULES[_language(s)]
         spans = _enclosed(s)
+        opens, closes = _union(spans)
+        closed = {c: o for o, c in spans}
         found = {stop}
         begin = len(s) - len(s.lstrip())
         for m in _CANDIDATE.finditer(s):
@@ -141,19 +188,20 @@ def ends(text: str) -> list[int]:
             wide = bool(_WIDE.search(m[0]))
             if not (wide or s[e].isspace() or m[0][0] in "।؟۔"):
                 continue
-            if any(o < a and c >= e for o, c in spans):
-                continue
-            if wide and m[0][-1] in "」』”" and any(o == begin and c == e - 1 for o, c in spans):
-                continue  # a quotation that begins the sentence, the speaker follows
-            before = s[max(begin, a - 24) : e if wide else a + len(m[0].rstrip(_CLOSERS))]
-            after = s[e:].lstrip()[:16]
+            k = bisect_left(opens, a) - 1
+            inside = k >= 0 and a > opens[k] and closes[k] >= e
+            said = wide and m[0][-1] in "」』”" and closed.get(e - 1) == begin
+            mark = INSIDE if inside and m[0] else SAID if said else ""
+            before = mark + s[_words_before(s, begin, a) : e if wide else a + len(m[0].rstrip(_CLOSERS))]
+            at = e
+            while s[at].isspace():
+                at += 1
             for yes, b, f in rules:
-                if f.match(after) and b.search(before):
+                if f.match(s, at) and b.search(before):
                     if yes:
                         found.add(e)
-                        begin = e + len(s[e:]) - len(s[e:].lstrip())
+                        begin = at
                     break
-        found.update(m.start() for m in _THAI_GAP.finditer(s))
         out += sorted(line.start() + x for x in found)
     return out
 
@@ -162,29 +210,45 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            cells: dict[int, str] = {}
+            pieces: dict[tuple[int, int], str] = {}
             for c in r.cells:
-                i, t = c["i"], c["t"]
-                cells[i] = max(cells.get(i, ""), t)
-            order = sorted(cells)
+                at = c["i"], c["shift"]
+                pieces[at] = max(pieces.get(at, ""), c["t"])
+            order = sorted(pieces)
             starts, pos = [], 0
-            for i in order:
+            for at in order:
                 starts.append(pos)
-                pos += len(cells[i]) + 1
-            text = " ".join(cells[i] for i in order)
+                pos += len(pieces[at]) + 1
+            text = " ".join(pieces[at] for at in order)
             last = 0
             for e in ends(text):
                 k = bisect_left(starts, e) - 1
-                if order[k] // STRETCH == r.stretch:
-                    rows.append((r.query_id, order[k], e - starts[k], text[last:e].strip()))
+                rows.append((r.query_id, order[k][0], e - starts[k] + order[k][1], text[last:e].strip()))
                 last = e
         yield pd.DataFrame(rows, columns=["query_id", "sentence_index", "end_offset", "sentence"])
 
 
+def _lines(cells: DataFrame) -> DataFrame:
+    """query_id, cells: the lines of answers (query_id, i, t; one row a cell). Breaks are counted by stretch first, so no task numbers a whole answer."""
+    part = F.floor(F.col("i") / STRETCH).alias("stretch")
+    x = cells.select("*", part, (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks"))
+    ahead = Window.partitionBy("query_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy("query_id", "stretch").agg(F.sum("breaks").alias("n")).select("query_id", "stretch", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    own = Window.partitionBy("query_id", "stretch").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("line", F.coalesce(F.sum("breaks").over(own), F.lit(0))).join(base, ["query_id", "stretch"])
+    piece = x.select("query_id", "i", "t", (F.col("base") + F.col("line")).alias("line"), F.posexplode(F.split("t", "\n")).alias("k", "piece"))
+    shift = F.aggregate(F.slice(F.split("t", "\n"), F.lit(1), F.col("k")), F.lit(0), lambda s, p: s + F.length(p) + 1)
+    return piece.groupBy("query_id", (F.col("line") + F.col("k")).alias("line")).agg(F.collect_list(F.struct("i", shift.alias("shift"), F.col("piece").alias("t"))).alias("cells")).select("query_id", "cells")
+
+
 def true_sentences(cells: DataFrame, query_id: str = "query_id", index: str = "sentence_index", text: str = "sentence") -> DataFrame:
     """query_id, sentence_index, end_offset, sentence: a row for each true sentence, at the cell in which it ends."""
     src = cells.select(F.col(query_id).alias("query_id"), F.col(index).cast("int").alias("i"), F.col(text).alias("t")).where("query_id IS NOT NULL AND i IS NOT NULL AND t IS NOT NULL")
-    part, at = F.floor(F.col("i") / STRETCH).cast("int"), F.col("i") % STRETCH
-    spread = F.filter(F.array(part, F.when(at < CONTEXT, part - 1), F.when(at >= STRETCH - CONTEXT, part + 1)), lambda x: x.isNotNull())
-    by = src.select("query_id", F.explode(spread).alias("stretch"), F.struct("i", "t").alias("c")).groupBy("query_id", "stretch").agg(F.collect_set("c").alias("cells"))
-    return by.mapInPandas(_answers, "query_id string, sentence_index int, end_offset int, sentence string")
+    schema = "query_id string, sentence_index int, end_offset int, sentence string"
+    far = src.where((F.col("i") < 0) | (F.col("i") >= STRETCH)).select("query_id").distinct()
+    few, units = src, None
+    if far.limit(1).count():
+        few = src.join(far, "query_id", "left_anti")
+        units = _lines(src.join(far, "query_id", "left_semi").groupBy("query_id", "i").agg(F.max("t").alias("t")))
+    whole = few.groupBy("query_id").agg(F.collect_set(F.struct("i", F.lit(0).alias("shift"), "t")).alias("cells"))
+    return (whole.unionByName(units) if units is not None else whole).mapInPandas(_answers, schema)
