@@ -21,15 +21,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import kernel as K
+
 Q = 2  #: length of q-grams
 GRAM_SIMILARITY = 0.35  #: Jaccard of the q-grams of two tokens that may be one word
 RARER = 0.2  #: how often a misspelling may occur beside what it misspells, as a share
 ACCEPT = 0.6  #: soft similarity from which a string names an entity
-#: The registry is sent to all tasks up to so many names.
-BROADCAST_NAMES = 100_000
 
 # Forms of address and titles, folded.
 TITLES = frozenset("dr prof doc yrd uzm op av mr mrs ms md phd sn bay bayan herr frau hr fr ass arş gor ogr".split())
@@ -128,6 +128,24 @@ def _meaning(t: str) -> str | None:
     return near.pop() if len(near) == 1 else None
 
 
+def _same_words(typed: list[str], meant: list[str], df: dict[str, int]) -> float:
+    """1 where the own words are the same in any order, less where some are misspelt, 0 where they are not the same."""
+    if not typed or len(typed) != len(meant):
+        return 0.0
+    left, misspelt = list(meant), []
+    for t in typed:
+        if t in left:
+            left.remove(t)
+        else:
+            misspelt.append(t)
+    for t in misspelt:
+        m = next((m for m in left if _believed(t, m, df)), None)
+        if m is None:
+            return 0.0
+        left.remove(m)
+    return 0.85 if misspelt else 1.0
+
+
 def _organisation(typed: list[str], name: list[str], df: dict[str, int], weight: dict[str, float]) -> float:
     sides = []
     for side in (typed, name):
@@ -137,21 +155,14 @@ def _organisation(typed: list[str], name: list[str], df: dict[str, int], weight:
     (a, pa), (b, pb) = sides
     if not pa and len(typed) == 1:
         return 0.0
-    if len(pa) != 1 or len(pb) != 1:
-        own = 1.0 if sorted(pa) == sorted(pb) and pa else 0.0
-    else:
-        own = 1.0 if pa == pb else 0.85 if _believed(pa[0], pb[0], df) else 0.0
+    own = _same_words(pa, pb, df)
     if not own or not a or not b:
         return 0.0
     same = len(a & b) / len(a | b)
-    w = weight.get(pb[0], 1.0)
+    w = max(weight.get(x, 1.0) for x in pb)
     return (w * own + 2 * same) / (w + 2) if same >= 0.6 else 0.0
 
 
-def initials(name: list[str]) -> str:
-    return "".join(t[0] for t in name if t not in _STOP)
-
-
 def _strings(df: DataFrame, row_id: str, metadata: str, fields: dict[str, tuple[str, str | None]]) -> DataFrame:
     """id, field_name, kind, typed: a row for each name string of the fields."""
     def part(field: str, kind: str, separator: str | None) -> Column:
@@ -169,50 +180,73 @@ def _grams(col: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q))))
 
 
+def gram_share(token: Column) -> Column:
+    """The least Jaccard similarity asked of a token: what two neighbours swapped leave of the q-grams of one letter fewer, at most GRAM_SIMILARITY."""
+    n = F.greatest(F.length(token) - 1, F.lit(3))
+    return F.least(F.lit(GRAM_SIMILARITY), (n - 2) / (n + 4))
+
+
 def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b: tokens of the two frames (column token, distinct) whose q-grams are similar, by a prefix-filtered join."""
+    """a, b: tokens of the two frames (column token, distinct) that may be one word.
+
+    Tokens of three letters and more whose q-grams are similar, by a
+    prefix-filtered join on the rare ones; shorter ones where they are equal.
+    """
 
     def prefixes(df: DataFrame, name: str, rank: DataFrame) -> DataFrame:
-        g = df.select(F.col("token").alias(name), _grams(F.col("token")).alias("all")).select(name, "all", F.explode("all").alias("gram")).join(rank, "gram")
+        long = df.where(F.length("token") > 2)
+        g = long.select(F.col("token").alias(name), _grams(F.col("token")).alias("all")).select(name, "all", F.explode("all").alias("gram")).join(rank, "gram")
         ordered = g.groupBy(name, "all").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("o"))
-        keep = F.size("all") - F.ceil(F.lit(GRAM_SIMILARITY) * F.size("all")) + 1
+        keep = F.size("all") - F.ceil(gram_share(F.col(name)) * F.size("all")) + 1
         return ordered.select(name, F.col("all").alias(f"all_{name}"), F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select(name, f"all_{name}", F.col("x.gram").alias("gram"))
 
     rank = left.unionByName(right).select(F.explode(_grams(F.col("token"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     both = prefixes(left, "a", rank).join(prefixes(right, "b", rank), "gram").select("a", "b", "all_a", "all_b").distinct()
     common = F.size(F.array_intersect("all_a", "all_b"))
-    return both.where(common >= GRAM_SIMILARITY * (F.size("all_a") + F.size("all_b") - common)).select("a", "b")
+    near = both.where(common >= F.least(gram_share(F.col("a")), gram_share(F.col("b"))) * (F.size("all_a") + F.size("all_b") - common)).select("a", "b")
+    short = left.where(F.length("token") <= 2).select(F.col("token").alias("a"), F.col("token").alias("b")).join(right.select(F.col("token").alias("b")), "b").select("a", "b")
+    return near.unionByName(short)
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        cut = {t: tokens(t) for t in b.typed.unique()}
+        yield b.assign(tokens=b.typed.map(cut))
 
 
 def link_names(df: DataFrame, registry: DataFrame, row_id: str = "id", metadata: str = "metadata", fields: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
     """id, field_name, entity_id, typed, similarity: the entities that each value names.
 
     fields: key of the metadata map -> (entity type, separator of several names
-    or None). Rows of the registry without id, type or name are skipped.
+    or None). Rows of the registry without id, type or name are skipped. Each
+    distinct string is cut into tokens once; frames that several steps read are
+    stored.
     """
     fields = fields or {"Authors": ("person", ";"), "Institution": ("organisation", None), "UploadedBy": ("person", None)}
-    split = F.udf(lambda t: tokens(t or ""), "array<string>")
+    spark = df.sparkSession
     strings = _strings(df, row_id, metadata, fields)
-    distinct = strings.groupBy("kind", "typed").agg(F.count("*").alias("n")).withColumn("tokens", split("typed"))
+    distinct = K.checkpointed(spark, strings.groupBy("kind", "typed").agg(F.count("*").alias("n")).mapInPandas(_cut, "kind string, typed string, n long, tokens array<string>"))
     count = distinct.select(F.explode(F.array_distinct("tokens")).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("df"))
-    known = registry.select(F.col("entity_id").cast("long").alias("entity_id"), F.col("entity_type").alias("kind"), split("full_name").alias("name")).where("entity_id IS NOT NULL AND kind IS NOT NULL AND size(name) > 0")
-    known = known.withColumn("initials", F.udf(lambda n: initials(n), "string")("name"))
-    words = known.select("entity_id", "kind", "name", "initials", F.explode(F.array_distinct("name")).alias("token"))
+    known = registry.select(F.col("entity_id").cast("long").alias("n"), F.col("entity_type").alias("kind"), F.col("full_name").alias("typed")).where("n IS NOT NULL AND kind IS NOT NULL AND typed IS NOT NULL").select("kind", "typed", "n")
+    known = known.mapInPandas(_cut, "kind string, typed string, n long, tokens array<string>").where(F.size("tokens") > 0)
+    stop = F.array(*[F.lit(x) for x in sorted(_STOP)])
+    initials = F.array_join(F.transform(F.filter("tokens", lambda t: ~F.array_contains(stop, t)), lambda t: F.substring(t, 1, 1)), "")
+    known = K.checkpointed(spark, known.select(F.col("n").alias("entity_id"), "kind", F.col("tokens").alias("name"), initials.alias("initials")))
+    words = known.select("entity_id", "kind", "name", F.explode(F.array_distinct("name")).alias("token"))
     often = words.groupBy("token").agg(F.count("*").alias("names"))
     # The distinguishing words of an entity: what is no word of institutions; of a person the last name.
     telling = words.where(F.when(F.col("kind") == "person", F.col("token") == F.element_at("name", -1)).otherwise(~F.col("token").isin(*_MEANING, *_STOP))).select("entity_id", "kind", "token")
-    near = similar_tokens(distinct.select(F.explode("tokens").alias("token")).where(F.length("token") > 2).distinct(), telling.select("token").distinct())
-    typed = distinct.select("kind", "typed", "tokens")
-    by_token = typed.select("kind", "typed", F.explode(F.array_distinct("tokens")).alias("a")).join(near, "a").join(telling.withColumnRenamed("token", "b"), ["kind", "b"]).select("kind", "typed", "entity_id").distinct()
-    short = typed.where("kind <> 'person' AND size(tokens) = 1 AND length(tokens[0]) BETWEEN 3 AND 8 AND typed = upper(typed)").select("kind", "typed", F.col("tokens")[0].alias("initials"))
+    near = similar_tokens(distinct.select(F.explode("tokens").alias("token")).distinct(), telling.select("token").distinct())
+    by_token = distinct.select("kind", "typed", F.explode(F.array_distinct("tokens")).alias("a")).join(near, "a").join(telling.withColumnRenamed("token", "b"), ["kind", "b"]).select("kind", "typed", "entity_id").distinct()
+    short = distinct.where("kind <> 'person' AND size(tokens) = 1 AND length(tokens[0]) > 1 AND typed = upper(typed)").select("kind", "typed", F.col("tokens")[0].alias("initials"))
     by_initials = short.join(known.select("kind", "entity_id", "initials"), ["kind", "initials"]).select("kind", "typed", "entity_id")
-    cand = by_token.unionByName(by_initials).join(typed, ["kind", "typed"]).join(known.select("entity_id", "kind", "name", "initials"), ["entity_id", "kind"])
+    cand = by_token.unionByName(by_initials).join(distinct.select("kind", "typed", "tokens"), ["kind", "typed"]).join(known, ["entity_id", "kind"])
+    cand = K.checkpointed(spark, cand)
     # Counts of the tokens that a verification needs come along as maps.
-    all_tokens = F.array_distinct(F.concat("tokens", "name"))
-    need = cand.select("typed", "entity_id", F.explode(all_tokens).alias("token")).join(count, "token", "left").join(often, "token", "left").groupBy("typed", "entity_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df")))).alias("df"), F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("names", F.lit(1)).alias("names")))).alias("names"))
-    verified = cand.join(need, ["typed", "entity_id"]).mapInPandas(_verify, "kind string, typed string, entity_id long, similarity double")
-    top = verified.groupBy("kind", "typed").agg(F.max("similarity").alias("best"))
-    fits = verified.join(top, ["kind", "typed"]).where("similarity >= best - 1e-9").select("kind", "typed", "entity_id", "similarity")
+    need = cand.select("kind", "typed", "entity_id", F.explode(F.array_distinct(F.concat("tokens", "name"))).alias("token")).join(count, "token", "left").join(often, "token", "left").groupBy("kind", "typed", "entity_id").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("names", F.lit(1)).alias("names"))).alias("counts"))
+    verified = cand.join(need, ["kind", "typed", "entity_id"]).mapInPandas(_verify, "kind string, typed string, entity_id long, similarity double")
+    best = F.max("similarity").over(Window.partitionBy("kind", "typed"))
+    fits = verified.withColumn("best", best).where("similarity >= best - 1e-9").select("kind", "typed", "entity_id", "similarity")
     return strings.join(fits, ["kind", "typed"]).groupBy("id", "field_name", "entity_id").agg(F.min("typed").alias("typed"), F.max("similarity").alias("similarity"))
 
 
@@ -220,7 +254,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            df, names = dict(r.df), dict(r.names)
+            df, names = {c["token"]: c["df"] for c in r.counts}, {c["token"]: c["names"] for c in r.counts}
             weight = {t: 1 / math.log2(1 + n) for t, n in names.items()}
             typed, name = list(r.tokens), list(r.name)
             if r.kind == "person":
