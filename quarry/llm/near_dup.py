@@ -155,7 +155,7 @@ def candidates(sig: DataFrame, max_differ: int) -> DataFrame:
         sent = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
         some = home.join(sent, "k", "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
         met = home.join(sent, "k", "left_anti").join(spots.join(sent, "k", "left_anti"), "k")
-        met = met.unionByName(some.join(spots.join(sent, "k", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["k", "salt"]).drop("salt"))
+        met = met.unionByName(some.join(spots.join(sent, "k", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["k", "salt"]).drop("salt"))
     else:
         met = home.join(spots, "k")
     apart = _differ(F.col("ua").bitwiseXOR(F.col("ub"))) + _differ(F.col("wa").bitwiseXOR(F.col("wb")))

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from quarry.llm import kernel as K
 from quarry.llm.visual_form import form
 
-#: A misreading is at most so frequent beside the word that was meant, and a suspect beside its own occurrences in scans.
-RARER, SUSPECT = 0.05, 0.2
+#: A misreading is at most so frequent beside the word that was meant (CLEAN: in clean texts), and a suspect there beside its own occurrences in scans.
+RARER, CLEAN, SUSPECT = 0.05, 0.01, 0.2
 MIN_COUNT = 2  #: of a lexicon word that corrects others
 MIN_DOCS, MIN_INTERRUPTS = 2, 0.3  #: of a running line
 SIMILAR_LINE = 0.72
+PAGE_WIDTH, WIDE_LINES = 110, 0.1  #: characters of a line of a page, and the share of lines that may be longer (tables, lines run together)
 EDGES = ".,;:()\"'«»“”„[]"
 # What is read for what stands there, and how unlikely that is (an edit that is no such pair costs OTHER a character and needs its neighbours).
 CONFUSIONS = {
@@ -44,9 +46,11 @@ CONFUSIONS = {
     ("6", "o"): 0.25, ("6", "b"): 0.3, ("9", "g"): 0.3, ("ri", "n"): 0.35, ("n", "ri"): 0.35, ("ı", "l"): 0.35, ("nn", "m"): 0.35, ("5", "s"): 0.25, ("3", "з"): 0.3,
 }
 OTHER, MAX_COST = 1.0, 0.4
+MIN_TWO_PLACES = 6  #: letters of a word that may be misread in two places apart
 MIN_BESIDE = 2  #: how often the word that was meant stands beside each neighbour, for an edit above MAX_COST
 #: Words whose neighbours are counted are sent to the texts up to so many, else joined by a shuffle.
 BROADCAST_WORDS = 200_000
+SALTS = 16  #: parts of the occurrences of a word where corrections are too many to be sent
 # Digits as they are misread.
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"}
 
@@ -55,16 +59,15 @@ _TERMINAL = re.compile(r"[.!?:;…][\"”’»)\]]*$")
 _NUMBER = re.compile(r"^\W*(?:(?:s|sayfa|seite|page|p|pág|pag|página|стр|с)\W*)?[\dOolISB]{1,4}(?:\s*(?:/|von|of|de)\s*[\dOolISB]{1,4})?[^\w.]*$", re.I)
 _ISSUE = re.compile(r"(?=(?:\w*\d){2})\b\w{4};\s?\w{1,3}\W?\w{1,3}\b")
 _ET_AL = re.compile(r"(?:^|\s)(?:[e1c][t1f]\s+[a-z1!]{0,2}l|v[ec1]\s+ar[kK1]|u\.\s?a|e\s+cols?)\.?(?:\W*[\dOolISB]*\W*)?$")
-_NUMERIC = re.compile(r"^(?=.*\d)[\dOolISBZz!|]+(?:[.,][\dOolISBZz!|]+)*%?$|^[\dOolISBZz!|]+(?:[.,][\dOolISBZz!|]+)+%?$")
-_PLAIN_NUMERIC = re.compile(r"^[\d.,]+%?$")
+_NUMERIC = r"^(?=.*\d)[\dOolISBZz!|]+(?:[.,][\dOolISBZz!|]+)*%?$|^[\dOolISBZz!|]+(?:[.,][\dOolISBZz!|]+)+%?$"
 
 
 def is_scan(content: Column) -> Column:
-    """Whether many lines of a content break within a sentence and all are of page width."""
+    """Whether many lines of a content break within a sentence and nearly all are of page width."""
     lines = F.filter(F.split(content, "\n"), lambda x: F.length(F.trim(x)) > 0)
     broken = F.filter(lines, lambda x: (F.length(x) >= 30) & ~F.rtrim(x).rlike("[.!?:;…][\"”’»)]*$"))
-    width = F.array_max(F.transform(lines, lambda x: F.length(x)))
-    return F.coalesce((F.size(lines) >= 3) & (width <= 110) & (F.size(broken) >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.25))), F.lit(False))
+    wide = F.size(F.filter(lines, lambda x: F.length(x) > PAGE_WIDTH))
+    return F.coalesce((F.size(lines) >= 3) & (wide <= WIDE_LINES * F.size(lines)) & (F.size(broken) >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.25))), F.lit(False))
 
 
 def line_key(line: str) -> str:
@@ -87,7 +90,7 @@ class Page:
     def __init__(self, content: str):
         self.lines = [x.rstrip() for x in content.split("\n")]
         self.filled = [i for i, x in enumerate(self.lines) if x.strip()]
-        plain = [len(self.lines[i]) for i in self.filled if not _ISSUE.search(self.lines[i])]
+        plain = [len(self.lines[i]) for i in self.filled if len(self.lines[i]) <= PAGE_WIDTH and not _ISSUE.search(self.lines[i])]
         self.width = max(plain, default=0)
         self.sure = {i for i in self.filled if self._sure(self.lines[i].strip())}
         self.short = {i for k, i in enumerate(self.filled) if i not in self.sure and self._short(k)}
@@ -195,38 +198,82 @@ def lower_first(w: Column) -> Column:
 
 
 def _deletes(w: Column) -> Column:
-    """The word, and the word without one and without two neighbouring characters."""
+    """The word, and the word without one and without two characters (in words below MIN_TWO_PLACES neighbouring ones only)."""
     n = F.length(w)
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
-    two = F.when(n > 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 2, n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(w), one, two))
-
-
-def misreading_cost(read: str, meant: str) -> float:
-    """Weighted edit distance of two different words that differ in one place."""
-    i = 0
-    while i < min(len(read), len(meant)) and read[i] == meant[i]:
-        i += 1
-    j = 0
-    while j < min(len(read), len(meant)) - i and read[-1 - j] == meant[-1 - j]:
-        j += 1
-    best = OTHER * max(len(read) - i - j, len(meant) - i - j, 1)
-    for lo in range(max(0, i - 1), i + 1):  # the differing part may take in equal characters beside it
-        for hi in range(max(0, j - 1), j + 1):
-            a, b = read[lo : len(read) - hi], meant[lo : len(meant) - hi]
-            best = min(best, CONFUSIONS.get((a, b), best))
-    return best
-
-
-def _costs(read, meant):
-    return pd.Series([misreading_cost(a, b) for a, b in zip(read, meant, strict=True)], dtype=float)
-
-
-def digits_of(word: str) -> str | None:
+    none = F.array().cast("array<string>")
+    left_out = lambda x, i, k: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + k, n))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: left_out(w, i, 1))
+    beside = F.when(n > 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: left_out(w, i, 2))).otherwise(none)
+    apart = F.when(n >= MIN_TWO_PLACES, F.flatten(F.transform(F.slice(one, F.lit(1), n - 1), lambda x, k: F.transform(F.sequence(k + 1, n - 1), lambda i: left_out(x, i, 1))))).otherwise(beside)
+    return F.array_distinct(F.concat(F.array(w), one, apart))
+
+
+_IDS = {c: i for i, c in enumerate(sorted({c for pair in CONFUSIONS for c in pair[0] + pair[1]}), 1)}
+_PACKED = sorted((_pack, cost) for (x, y), cost in CONFUSIONS.items() for _pack in [sum(_IDS[c] << (6 * k) for k, c in zip((3, 2) if len(x) == 2 else (2,), x)) + sum(_IDS[c] << (6 * k) for k, c in zip((1, 0) if len(y) == 2 else (0,), y))])
+_PAIR, _PAIR_COST = np.array([k for k, _ in _PACKED]), np.array([c for _, c in _PACKED])
+
+
+def misreading_costs(read: list[str], meant: list[str]) -> np.ndarray:
+    """Weighted edit distances, all pairs side by side: a confusion pair has its cost, any other character put in, left out or for another costs OTHER."""
+    out = np.zeros(len(read))
+    longest = np.array([max(len(x), len(y)) for x, y in zip(read, meant, strict=True)], np.int64)
+    below = 0
+    for top in (8, 12, 20, 40, int(longest.max(initial=0))):
+        rows = np.flatnonzero((longest > below) & (longest <= top))
+        below = max(below, top)
+        if len(rows):
+            out[rows] = _distances([read[i] for i in rows], [meant[i] for i in rows])
+    return out
+
+
+def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points by word (0 beyond the end), their places in the confusion pairs (0: in none), lengths."""
+    n = np.array([len(w) for w in words])
+    cp = np.zeros((len(words), int(n.max(initial=0)) + 1), np.int64)
+    cp[np.arange(cp.shape[1]) < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars, back = np.unique(cp, return_inverse=True)
+    return cp, np.array([_IDS.get(chr(c), 0) for c in chars], np.int64)[back].reshape(cp.shape), n
+
+
+def _distances(read: list[str], meant: list[str]) -> np.ndarray:
+    (a, ia, na), (b, ib, nb) = _matrix(read), _matrix(meant)
+    out = np.full(len(read), np.inf)
+
+    def pair(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        key = sum(v << (6 * k) for k, v in zip((3, 2) if len(x) == 2 else (2,), x, strict=True)) + sum(v << (6 * k) for k, v in zip((1, 0) if len(y) == 2 else (0,), y, strict=True))
+        at = np.minimum(np.searchsorted(_PAIR, key), len(_PAIR) - 1)
+        known = (_PAIR[at] == key) & np.all([v > 0 for v in (*x, *y)], axis=0)
+        return np.where(known, _PAIR_COST[at], np.inf)
+
+    d: dict[tuple[int, int], np.ndarray] = {(0, 0): np.zeros(len(read))}
+    for i in range(int(na.max(initial=0)) + 1):
+        for j in range(max(0, i - 3), min(int(nb.max(initial=0)), i + 3) + 1):  # more characters apart are no misreading
+            if i or j:
+                best = np.full(len(read), np.inf)
+                if i and (i - 1, j) in d:
+                    best = np.minimum(best, d[i - 1, j] + OTHER)
+                if j and (i, j - 1) in d:
+                    best = np.minimum(best, d[i, j - 1] + OTHER)
+                for x, y in ((1, 1), (1, 2), (2, 1), (2, 2)):
+                    if i >= x and j >= y and (i - x, j - y) in d:
+                        step = pair([ia[:, i - k] for k in range(x, 0, -1)], [ib[:, j - k] for k in range(y, 0, -1)])
+                        if x == y == 1:
+                            step = np.where(a[:, i - 1] == b[:, j - 1], 0.0, np.minimum(step, OTHER))
+                        best = np.minimum(best, d[i - x, j - y] + step)
+                d[i, j] = best
+            out = np.where((na == i) & (nb == j), d[i, j], out)
+    return out
+
+
+def _costs(read: pd.Series, meant: pd.Series) -> pd.Series:
+    return pd.Series(misreading_costs(read.tolist(), meant.tolist()))
+
+
+def number_of(word: Column) -> Column:
     """The number that a misread number should be; null where the word is none or right."""
-    if _PLAIN_NUMERIC.match(word) or not _NUMERIC.match(word) or sum(c.isdigit() or c in ".," for c in word) * 2 < len(word):
-        return None
-    return "".join(DIGITS.get(c, c) for c in word)
+    plain = word.rlike(r"^[\d.,]+%?$")
+    figures = F.length(F.regexp_replace(word, r"[^\d.,]", ""))
+    return F.when(~plain & word.rlike(_NUMERIC) & (figures * 2 >= F.length(word)), F.translate(word, "".join(DIGITS), "".join(DIGITS.values())))
 
 
 class Scans:
@@ -240,8 +287,7 @@ class Scans:
         own = short.join(running.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
         self.units = K.checkpointed(spark, self.pages.join(own, "id", "left").select("id", "content", "keys").mapInPandas(_units, _UNIT))
         said = self.units.where("kind = 'word' OR (kind = 'hyphen' AND word <> '')").select("word", F.lit(0).alias("c"), F.lit(1).alias("s"))
-        edge = "[" + re.escape(EDGES).replace("\\'", "'").replace('\\"', '"') + "]+"
-        bare = lambda w: F.regexp_replace(F.regexp_replace(w, f"^{edge}", ""), f"{edge}$", "")
+        bare = lambda w: F.btrim(w, F.lit(EDGES))
         clean = src.where("NOT scan").select(F.explode(F.split("content", r"\s+")).alias("w")).select(bare(F.col("w")).alias("word"), F.lit(1).alias("c"), F.lit(0).alias("s"))
         self.clean_words = src.where("NOT scan").select(F.transform(F.split("content", r"\s+"), bare).alias("w"))
         counts = clean.unionByName(said).where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
@@ -250,10 +296,10 @@ class Scans:
         meant = self.words.where((F.col("c") >= MIN_COUNT) | ((F.col("c") == 0) & (F.col("s") > MIN_COUNT))).where(F.length("key") > 1)
         left = suspect.select(F.col("key").alias("read"), (F.col("c") + F.col("s")).alias("n_read"), F.col("c").alias("c_read"), F.explode(_deletes(F.col("key"))).alias("rest"))
         right = meant.select(F.col("key").alias("meant"), "surface", (F.col("c") + F.col("s")).alias("n_meant"), F.col("c").alias("c_meant"), F.explode(_deletes(F.col("key"))).alias("rest"))
-        near = left.join(right, "rest").where("read <> meant AND abs(length(read) - length(meant)) <= 1 AND levenshtein(read, meant, 2) >= 0 AND n_read <= 1 + n_meant * 0.05 AND (c_read = 0 OR c_read <= 0.01 * c_meant)").drop("rest").distinct()
+        near = left.join(right, "rest").where(f"read <> meant AND abs(length(read) - length(meant)) <= 1 AND levenshtein(read, meant, 2) >= 0 AND n_read <= 1 + n_meant * {RARER} AND (c_read = 0 OR c_read <= {CLEAN} * c_meant)").drop("rest").distinct()
         # No misreading: another case, a hyphen more or less, two for two characters, a code or number of its own.
         other = F.col("meant").rlike(r"^[\p{L}\p{M}'’-]+$") & (F.lower("read") != F.lower("meant")) & (F.translate("read", "-", "") != F.translate("meant", "-", "")) & ((F.col("cost") <= OTHER) | (F.length("read") != F.length("meant")))
-        scored = near.withColumn("cost", F.pandas_udf(_costs, "double", F.PandasUDFType.SCALAR)("read", "meant")).where((F.col("cost") <= MAX_COST) | other)
+        scored = near.withColumn("cost", F.pandas_udf(_costs, "double")("read", "meant")).where((F.col("cost") <= MAX_COST) | other)
         self.repairs = K.checkpointed(spark, scored.select("read", "meant", "surface", "n_meant", "cost").withColumn("choices", F.count("*").over(Window.partitionBy("read"))))
 
     def corrections(self) -> DataFrame:
@@ -279,22 +325,27 @@ class Scans:
     def found(self) -> DataFrame:
         """id, line_no, word_no, kind, word, repaired: furniture, hyphen and ocr."""
         furniture = self.units.where("kind = 'furniture'").select("id", "line_no", "word_no", "kind", "word", F.lit("").alias("repaired"))
-        number = F.udf(digits_of, "string")
         u = self.units.where("kind <> 'furniture'").withColumn("key", lower_first(F.col("word"))).withColumn("alt_key", F.when(F.col("kind") == "hyphen", lower_first(F.col("alt"))))
         c = K.checkpointed(self.units.sparkSession, self.corrections())
+        few = c.count() <= BROADCAST_WORDS
         single, several = c.where("before IS NULL").select(F.col("read").alias("key"), F.col("meant").alias("m1"), F.col("surface").alias("f1")), c.where("before IS NOT NULL").select(F.col("read").alias("key"), "before", "after", F.col("meant").alias("m2"), F.col("surface").alias("f2"))
-        j = u.join(single, "key", "left").join(several, ["key", "before", "after"], "left")
+        if few:
+            j = u.join(F.broadcast(single), "key", "left").join(F.broadcast(several), ["key", "before", "after"], "left")
+        else:  # frequent words are spread over SALTS parts
+            salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+            j = u.withColumn("salt", F.pmod(F.xxhash64("id", "word_no"), F.lit(SALTS)))
+            j = j.join(single.select("*", salts), ["key", "salt"], "left").join(several.select("*", salts), ["key", "before", "after", "salt"], "left").drop("salt")
         # The case of the first letter stays where that letter is right; else the usual spelling has it.
         meant, usual = F.coalesce("m1", "m2"), F.coalesce("f1", "f2")
         same_first = F.substring(meant, 1, 1) == F.substring("key", 1, 1)
         cased = F.when(same_first & (F.substring("word", 1, 1) != F.substring("key", 1, 1)), F.concat(F.substring("word", 1, 1), F.substring(meant, 2, 1_000_000))).when(same_first, meant).otherwise(usual)
         j = j.withColumn("fixed", cased)
-        ocr = j.where("kind = 'word'").withColumn("repaired", F.coalesce("fixed", F.when(F.col("word").rlike("[0-9OolISBZz!|]") & F.col("word").rlike("^[0-9OolISBZz!|.,%]+$"), number("word")))).where("repaired IS NOT NULL AND repaired <> word").select("id", "line_no", "word_no", F.lit("ocr").alias("kind"), "word", "repaired")
+        ocr = j.where("kind = 'word'").withColumn("repaired", F.coalesce("fixed", number_of(F.col("word")))).where("repaired IS NOT NULL AND repaired <> word").select("id", "line_no", "word_no", F.lit("ocr").alias("kind"), "word", "repaired")
         h = j.where("kind = 'hyphen'")
         count = self.words.select(F.col("key"), (F.col("c") + F.col("s")).alias("n"), F.col("c"))
         h = h.join(count.select("key", F.col("c").alias("c_joined"), F.col("n").alias("n_joined")), "key", "left").join(count.select(F.col("key").alias("alt_key"), F.col("n").alias("n_alt")), "alt_key", "left")
         keeps = (F.coalesce("n_alt", F.lit(0)) > F.greatest(F.coalesce("c_joined", F.lit(0)), F.lit(1))) | F.col("alt").rlike(r"^\p{Lu}[\p{Lu}\d]*-\d") | (F.col("alt").rlike(r"^\p{Lu}+-") & ~F.col("alt").rlike(r"^\p{Lu}\p{Ll}"))
-        number_or_word = F.coalesce(F.when(F.col("word").rlike("^[0-9OolISBZz!|.,%]+$"), number("word")), F.col("fixed"), F.col("word"))
+        number_or_word = F.coalesce(number_of(F.col("word")), F.col("fixed"), F.col("word"))
         hyphen = h.select("id", "line_no", "word_no", F.lit("hyphen").alias("kind"), "word", F.when(keeps, F.col("alt")).otherwise(number_or_word).alias("repaired"))
         return furniture.unionByName(hyphen).unionByName(ocr)
 
@@ -320,7 +371,7 @@ def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             paragraphs: list[list[str]] = [[]]
             pending = ""
             cut = False  # a page break came in between
-            width = max(map(len, lines), default=0)
+            width = max((len(x) for x in lines if len(x) <= PAGE_WIDTH), default=0)
             for no, line in enumerate(lines, 1):
                 if no in gone:
                     cut = True

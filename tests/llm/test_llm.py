@@ -343,10 +343,31 @@ def test_edits():
 # problem 1
 
 
-def test_costs_and_numbers():
-    assert scans.misreading_cost("saklarna", "saklama") == 0.2 and scans.misreading_cost("b1r", "bir") == 0.25
-    assert scans.misreading_cost("table", "cable") >= 1
-    assert [scans.digits_of(x) for x in ("S,9", "2O18", "12", "l", "so", "8B.6")] == ["5,9", "2018", None, None, None, "88.6"]
+def test_costs_and_numbers(spark):
+    pairs = [("saklarna", "saklama", 0.2), ("b1r", "bir", 0.25), ("table", "cable", 1.0), ("same", "same", 0.0), ("xn0rthem", "northern", 1.35), ("ab", "", 2.0)]
+    assert np.allclose(scans.misreading_costs([p[0] for p in pairs], [p[1] for p in pairs]), [p[2] for p in pairs])
+    words = ["S,9", "2O18", "12", "l", "so", "8B.6", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", scans.number_of(F.col("w")).alias("n"))
+    assert {r.w: r.n for r in df.collect()} == dict(zip(words, ["5,9", "2018", None, None, None, "88.6", None], strict=True))
+
+
+def plain_distance(a, b):
+    d = {(0, 0): 0.0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                steps = [d[i - 1, j] + 1] if i else []
+                steps += [d[i, j - 1] + 1] if j else []
+                steps += [d[i - x, j - y] + (0.0 if a[i - x : i] == b[j - y : j] else 1.0 if x == y == 1 and (a[i - 1], b[j - 1]) not in scans.CONFUSIONS else scans.CONFUSIONS.get((a[i - x : i], b[j - y : j]), 9.0)) for x in (1, 2) for y in (1, 2) if i >= x and j >= y]
+                d[i, j] = min(steps)
+    return d[len(a), len(b)]
+
+
+def test_distances_are_those_of_the_plain_rule():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("rnmcl1ieo0du") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    near = [w[: (k := rng.randrange(len(w)))] + rng.choice(["", "m", "rn", "cl", "1", "x"]) + w[k + rng.randrange(2) :] for w in words]
+    assert np.allclose(scans.misreading_costs(words, near), [plain_distance(a, b) for a, b in zip(words, near, strict=True)])
 
 
 def test_scans(spark):
@@ -390,3 +411,147 @@ def test_scans_repair_misreadings_that_no_list_names(spark):
     got = {(r.line_no, r.kind, r.repaired) for r in scans.Scans(spark, df).found().collect()}
     # Beside "near", "pulse" is not known; a code is no misreading of another.
     assert got == {(1, "ocr", "normal"), (1, "ocr", "signal"), (2, "ocr", "doctor"), (2, "ocr", "morning")}
+
+
+def test_scans_with_wide_lines_and_two_places(spark, monkeypatch):
+    body = "The report describes the northern centre and the blood pressure of many patients in detail. "
+    wide = "The report describes the northern centre and the blood pressure of many patients in detail. " + "Table 4 and 5 and six."
+    lines = ["The report describes the n0rthcrn centre and the blood", "pressure of many patients in detail. The report", "describes the northern centre and the blood pressure"] * 4
+    lines[3:] = [x.replace("n0rthcrn", "northern") for x in lines[3:]]
+    clean = [(f"c{i}", body * 6) for i in range(8)]
+    df = spark.createDataFrame([(*r, *NONE) for r in [*clean, ("s", "\n".join([*lines, wide]))]], "id string, content string" + EXTRA)
+    assert len(wide) > 110
+    found = lambda: sorted(tuple(r) for r in scans.Scans(spark, df).found().select("id", "line_no", "kind", "repaired").collect())
+    got = found()
+    assert [g for g in got if g[2] == "ocr"] == [("s", 1, "ocr", "northern")]
+    monkeypatch.setattr(scans, "BROADCAST_WORDS", 0)
+    assert found() == got
+
+
+def test_long_answers_are_whole(spark):
+    cells = [(i, f"word{i} goes on") for i in range(300)]
+    cells[240] = (240, "She said “this begins.")
+    cells[241:275] = [(i, f"Part {i} is said.") for i in range(241, 275)]
+    cells[275] = (275, "It ends”.")
+    cells[290] = (290, "A line\nand another.\n Third")
+    cells += [(600, "After a gap."), (5000, "Far. Away")]
+    short = [(i if i < 300 else i - 599 + 299, t) for i, t in cells if i < 600]
+    text = " ".join(t for _, t in cells)
+    starts, pos = [], 0
+    for _, t in cells:
+        starts.append(pos)
+        pos += len(t) + 1
+    want = set()
+    for e in sentences.ends(text):
+        k = max(i for i, x in enumerate(starts) if x < e)
+        want.add((cells[k][0], e - starts[k]))
+    rows = [("q", i, t) for i, t in cells] + [("s", i, t) for i, t in short if i < 250]
+    df = spark.createDataFrame([(*r, *NONE) for r in rows], "query_id string, sentence_index int, sentence string" + EXTRA)
+    got = sentences.true_sentences(df).collect()
+    assert {(r.sentence_index, r.end_offset) for r in got if r.query_id == "q"} == want
+    assert not any(240 <= i < 275 for i, _ in want) and any(r.query_id == "s" for r in got)
+
+
+def test_languages_choose_their_rules():
+    assert sentences._language("The dose was given to the patient and the trial") == "en"
+    assert sentences._language("Der Wert stieg am 12. Mai und die Dosis wurde") == "de"
+    assert sentences._language("Xyz 12") == "latin" and sentences._language("Он пришёл") == "ru"
+
+
+def test_hot_anchors_and_other_sides_give_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    rows = [(f"d{k}", edited(rng, base, 0.03)) for k in range(60)] + [(f"e{k}", edited(rng, [f"x{k}_{i % 40}" for i in range(60)], 0.02)) for k in range(30)] + [(f"f{k}", edited(rng, [f"x{k}_{i % 40}" for i in range(60)], 0.02)) for k in range(30)]
+    df = spark.createDataFrame([(*r, *NONE) for r in rows], "id string, content string" + EXTRA)
+    pairs = lambda: {tuple(r) for r in near_dup.near_duplicate_pairs(spark, {"t": (df, "id", "content")}).collect()}
+    plain = pairs()
+    monkeypatch.setattr(near_dup, "HOT", 2)
+    assert pairs() == plain and len(plain) > 1000
+    monkeypatch.setattr(near_dup, "BROADCAST_HOT", 0)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    assert pairs() == plain
+
+
+def test_leaks_by_shuffle_give_the_same(spark, small, monkeypatch):
+    items, d = spark.read.parquet(f"{small}/eval_items.parquet"), spark.read.parquet(f"{small}/documents.parquet")
+    plain = {tuple(r) for r in leak.leaks(spark, d, items).collect()}
+    monkeypatch.setattr(leak, "BROADCAST_HASHES", 0)
+    assert {tuple(r) for r in leak.leaks(spark, d, items).collect()} == plain and plain
+
+
+def test_many_copies_and_one_look_alike(spark):
+    df = spark.range(100_000).selectExpr("cast(id as string) AS id", "'same name' AS content").unionByName(spark.createDataFrame([("x", "s\u0430me name"), ("y", "other")], "id string, content string"))
+    got = V.look_alikes(df, "id", "content")
+    assert got.count() == 100_000 and got.where("row_id_2 = 'x'").count() == 100_000
+
+
+def test_case_folding_is_a_form_of_its_own(spark):
+    df = spark.createDataFrame([("Ｓtraße",), ("STRASSE",), (None,)], "content string")
+    assert [tuple(r) for r in V.with_form(df, "content", "form", "folded").select("form", "folded").collect()] == [("Straße", "strasse"), ("STRASSE", "strasse"), (None, None)]
+
+
+def test_more_subjects_than_labels(spark, small="/root/testdata/sf0.01"):
+    t = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
+    many = t("subjects").select("subject").unionByName(spark.range(992).selectExpr("concat('a', id) AS subject"))
+    few = subjects.classify(spark, t("documents"), t("corpus_documents"), t("subject_labels"), t("subjects"))
+    assert many.count() == 1001
+    got = subjects.classify(spark, t("documents"), t("corpus_documents"), t("subject_labels"), many)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in few.collect()}
+
+
+def test_sections_name_subjects(spark):
+    rows = [(i, f"law_{i}.txt", "Court News") for i in range(25)] + [(100 + i, f"sport_{i}.txt", "Mixed") for i in range(15)] + [(200 + i, f"law_{i}.txt", "Mixed") for i in range(15)] + [(300, "x.txt", "Court News"), (301, "x.txt", "Mixed"), (302, "sport_9.txt", "Court News"), (303, None, None)]
+    df = spark.createDataFrame(rows, "id long, file_name string, section string")
+    got = {r.id: r.subject for r in subjects.weak_labels(df, "id", F.col("file_name"), F.col("section"), ["law", "sport"]).collect()}
+    assert got[300] == "law" and 301 not in got and got[302] == "sport" and 303 not in got and len(got) == 57
+
+
+def test_more_budgets_than_a_block(spark):
+    sized = packing.sized(docs(spark, [(i, "alpha beta " * (i % 7)) for i in range(50)]))
+    budgets = spark.createDataFrame([(i, 10 + i % 5) for i in range(packing.BUDGET_BLOCK * 2 + 1)], "budget_id int, capacity_tokens int")
+    w = packing.whole(packing.pack(sized, budgets, rows_per_task=3000), budgets).collect()
+    assert len(w) == budgets.count() and all((r.n_docs, r.overfull, r.gaps, r.needless_splits) == (50, 0, 0, 0) for r in w)
+
+
+def test_packer_holds_its_window_only():
+    p = packing.Packer(10, window=4)
+    rng, out = random.Random(1), []
+    for i in range(500):
+        out += p.put(n := rng.randrange(0, 11), (i, n))
+        assert len(p.pool) <= 4 and len(p.items) <= 4
+    out += p.rest()
+    assert sorted(x[1] for x in out) == list(range(500))
+    used = {}
+    for box, _, n in out:
+        used[box] = used.get(box, 0) + n
+    assert max(used.values()) <= 10
+
+
+def test_alphabets_and_unknown_languages(spark):
+    many = "".join(chr(0x4E00 + i) for i in range(300))
+    m = language.Models({"zz": [many], **{k: [t * 20] for k, t in TEXTS.items()}})
+    assert m.width > 300
+    got = language.detect(m, [TEXTS["de"], "Qzxv jklwp bnmpt rtyyq zxcvw qwrtk plkjz hgfdx sdfgq mnbvc."])
+    assert [m.langs[x] for x in got[got.doc == 0].lang] == ["de"] * 3 and set(got[got.doc == 1].lang) == {len(m.langs)}
+
+
+def test_short_names(spark):
+    reg = spark.createDataFrame([(1, "person", "Mina Oz"), (2, "person", "Ayla Demir"), (3, "organisation", "Alda Berk Devlet Hastanesi")], "entity_id long, entity_type string, full_name string")
+    meta = [("a", {"Authors": "Mina Oz; Ayla Dmeir"}), ("b", {"Institution": "Alda Brek State Hosp."}), ("c", {"Authors": "Mina Az"})] + [(f"x{i}", {"Authors": "Ayla Demir", "Institution": "Alda Berk Devlet Hastanesi"}) for i in range(6)]
+    df = spark.createDataFrame([(i, m, *NONE) for i, m in meta], "id string, metadata map<string,string>" + EXTRA)
+    got = {(r.id, r.entity_id) for r in names.link_names(df, reg).collect() if r.id[0] != "x"}
+    assert got == {("a", 1), ("a", 2), ("b", 3)}
+
+
+def test_checkpoints_need_a_shared_folder_on_clusters():
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        K.checkpointed(Session, None)
