@@ -28,7 +28,7 @@ SUFFIXES = (
 ).split()
 
 # A dosage, and abbreviations before a full stop that ends no sentence.
-DOSAGE = r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|cc|gr|mg\/kg|IU|iu|x\d+|tab|tablet|kapsül)\b"
+DOSAGE = r"(?iU)\b\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|cc|gr|mg\/kg|IU|iu|x\d+|tab|tablet|kapsül)\b"
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
 
 
@@ -121,6 +121,49 @@ def fenced(text: Column) -> Column:
     return F.when(body != "", squeezed(body)).otherwise(squeezed(text))
 
 
+def json_fields(text: Column) -> Column:
+    """Values of the outermost JSON object by name in lower case; null where the text is no JSON object. Trailing commas and comments are no fault."""
+    return F.transform_keys(F.from_json(F.regexp_replace(text, r",\s*(\]|\})", "$1"), "map<string,variant>", {"allowSingleQuotes": "false", "allowComments": "true"}), lambda k, _: F.lower(k))
+
+
+def typed_json(raw: Column, fields: dict[str, str]) -> Column:
+    """code (null, EmptyOutput, NullParsedObject or SchemaViolation) and value: an object with these fields (name -> SQL type), parsed as it is or, failing that, after repair.
+
+    A field that is missing is null; one of another kind violates the schema.
+    """
+    kinds = {"string": "STRING", "bigint": "BIGINT", "double": "DOUBLE|DECIMAL.*|BIGINT", "boolean": "BOOLEAN"}
+    clean = fenced(raw)
+
+    def read(text: Column) -> tuple[Column, Column]:
+        m = json_fields(text)
+        wrong, parts = m.isNull(), []
+        for name, kind in fields.items():
+            x = F.try_element_at(m, F.lit(name.lower()))
+            of = F.schema_of_variant(x)
+            fits = of.rlike(f"^({kinds.get(kind, 'ARRAY.*')}|VOID)$")
+            wrong = wrong | (x.isNotNull() & ~fits)
+            parts.append(F.try_variant_get(x, "$", kind).alias(name))
+        return F.coalesce(wrong, F.lit(True)), F.struct(*parts)
+
+    wrong_as_is, as_is = read(clean)
+    wrong_again, again = read(repaired_json(clean))
+    blank = F.coalesce(squeezed(raw), F.lit("")) == ""
+    code = F.when(blank, "EmptyOutput").when(squeezed(clean) == "null", "NullParsedObject").when(wrong_as_is & wrong_again, "SchemaViolation")
+    return F.struct(code.alias("code"), F.when(code.isNull(), F.when(wrong_as_is, again).otherwise(as_is)).alias("value"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: it stays one when it stands in a list and in an object."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.coalesce(F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull() & held.isNotNull(), F.lit(False))
+
+
+def raw_json_code(raw: Column) -> Column:
+    """null where the text, out of its code fence, is JSON as it stands (never repaired), else EmptyOutput or InvalidJson."""
+    return F.when(F.coalesce(squeezed(raw), F.lit("")) == "", "EmptyOutput").when(~is_json(fenced(raw)), "InvalidJson")
+
+
 def repaired_json(text: Column) -> Column:
     """Single quotes to double ones, trailing commas dropped, missing brackets and then braces appended."""
     t = F.regexp_replace(squeezed(text), r"(?<=[\{\[,:])\s*'([^']*)'\s*(?=[\}\],:])", '"$1"')

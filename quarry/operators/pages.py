@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import DOI, squeezed
 
-# Section badges of journals, and headings at which a body starts.
+# Section badges, headings at which a body starts, the citation mark, names of journals.
 BADGES = "ORIGINAL ARTICLE|KLİNİK ÇALIŞMA|KLINIK CALISMA|ORIGINAL INVESTIGATION|REVIEW ARTICLE|CASE REPORT"
 LINE_BADGES = BADGES + "|EDITORIAL|SPECIAL REPORT"
 BODY_STARTS = "ABSTRACT|ÖZET|SUMMARY|GİRİŞ|INTRODUCTION"
@@ -22,7 +22,7 @@ def doi(text: Column) -> Column:
 
 def citation(text: Column) -> Column:
     """What follows the citation mark, over lines until a heading; white space runs as one space; null without one."""
-    found = F.regexp_extract(text, rf"(?i){CITE}\s*([^\r\n]+(?:\r?\n(?!\s*(?:ABSTRACT|ÖZET|DOI|Received|Accepted|\d{{4}}))[^\r\n]+)*)", 1)
+    found = F.regexp_extract(text, rf"(?iU){CITE}\s*([^\r\n]+(?:\r?\n(?!\s*(?:ABSTRACT|ÖZET|DOI|Received|Accepted|\d{{4}}))[^\r\n]+)*)", 1)
     return F.nullif(squeezed(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 
 
@@ -36,7 +36,7 @@ def citation_parts(cite: Column) -> tuple[Column, Column]:
 def banner_journal(text: Column) -> Column:
     """A journal name in the first four filled lines; null without one."""
     lines = F.slice(F.filter(F.split(text, r"\r?\n"), lambda x: x != ""), 1, 4)
-    return F.nullif(squeezed(F.regexp_replace(F.regexp_extract(F.array_join(lines, " "), f"(?i)({JOURNALS})", 1), r"\s+", " ")), F.lit(""))
+    return F.nullif(squeezed(F.regexp_replace(F.regexp_extract(F.array_join(lines, " "), f"(?iU)({JOURNALS})", 1), r"\s+", " ")), F.lit(""))
 
 
 def header_line(line: Column) -> Column:
@@ -52,19 +52,26 @@ def drop_caps(text: Column) -> Column:
 
 def without_badges(text: Column) -> Column:
     """Section badges on lines of their own become a line feed, inline ones go; blanks run as one, trimmed."""
-    t = F.regexp_replace(text, rf"(?i)(^|\n|\r)\s*({LINE_BADGES})\s*($|\n|\r)", "\n")
-    t = F.regexp_replace(t, rf"(?i)\b({BADGES})\b", "")
+    t = F.regexp_replace(text, rf"(?iU)(^|\n|\r)\s*({LINE_BADGES})\s*($|\n|\r)", "\n")
+    t = F.regexp_replace(t, rf"(?iU)\b({BADGES})\b", "")
     return squeezed(F.regexp_replace(t, r"[ \t]+", " "))
 
 
 def body_start(text: Column) -> Column:
     """From the first abstract or introduction heading, or after the line of the citation mark, else unchanged."""
-    at = F.regexp_instr(text, F.lit(rf"(?i)(^|\n|\r)\s*({BODY_STARTS})\b"))
-    cite = F.locate(CITE.lower(), F.lower(text))
+    at = F.regexp_instr(text, F.lit(rf"(?iU)(^|\n|\r)\s*({BODY_STARTS})\b"))
+    cite = F.regexp_instr(text, F.lit(f"(?i){CITE}"))
     feed = F.locate("\n", F.substring(text, cite, F.length(text)))
     return F.when(at > 1, squeezed(F.substring(text, at, F.length(text)))).when((cite > 0) & (feed > 0), squeezed(F.substring(text, cite + feed - 1, F.length(text)))).otherwise(text)
 
 
+def page_metadata(docs: Column, file: Column, page_no: Column, pages: Column, scanned: Column, kind: str = "PDF") -> Column:
+    """Metadata of a page: that of its document, and five keys of its own, which win."""
+    own = F.create_map(F.lit("SourceFile"), file, F.lit("PageNumber"), page_no.cast("string"), F.lit("TotalPages"), pages.cast("string"), F.lit("FileType"), F.lit(kind), F.lit("IsScannedOrImageOnly"), F.when(scanned, "True").otherwise("False"))
+    kept = F.map_filter(F.coalesce(docs, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("SourceFile", "PageNumber", "TotalPages", "FileType", "IsScannedOrImageOnly"))
+    return F.map_concat(kept, own)
+
+
 def fingerprints(pages: DataFrame, least: int = 10, times: int = 2) -> DataFrame:
     """file, header, n: normalised first two and last lines that occur so often among the pages (file, page_no, text) of a file."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: x != "")

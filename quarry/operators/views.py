@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def polar(points: DataFrame) -> DataFrame:
-    """query_id, chunk_id, x, y of points (query_id, doc, chunk_id, distance): a sector for each document, the distance as radius."""
-    docs = Window.partitionBy("query_id").orderBy("doc")
-    own = Window.partitionBy("query_id", "doc")
-    p = points.withColumn("sector", F.dense_rank().over(docs) - 1).withColumn("i", F.row_number().over(own.orderBy("chunk_id")) - 1).withColumn("n", F.count("*").over(own))
-    m = p.groupBy("query_id").agg((F.max("sector") + 1).alias("sectors"))
-    p = p.join(m, "query_id")
+    """query_id, chunk_id, x, y of points (query_id, doc, chunk_id, distance): a sector for each document, the distance as radius.
+
+    Sectors are numbered over the documents, places within a document only.
+    """
+    docs = Window.partitionBy("query_id")
+    each = points.groupBy("query_id", "doc").agg(F.count("*").alias("n"))
+    each = each.withColumn("sector", F.row_number().over(docs.orderBy("doc")) - 1).withColumn("sectors", F.count("*").over(docs))
+    own = Window.partitionBy("query_id", "doc").orderBy("chunk_id")
+    p = points.withColumn("i", F.row_number().over(own) - 1).join(each, ["query_id", "doc"])
     step = 2 * F.pi() / F.col("sectors")
     span = F.least(step * 0.85, F.col("n") * 0.25)
     angle = -F.pi() / 2 + F.col("sector") * step + F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1) * span).otherwise(span / 2)
@@ -34,14 +37,23 @@ def chunk_links(chunks: DataFrame) -> DataFrame:
 def bridges(points: DataFrame, width: float = 0.06, near: float = 0.5) -> DataFrame:
     """query_id, a, b: chunks of different documents whose distances differ by less than width, the first of them near.
 
-    A range self-join on cells of that width and their neighbours.
+    a is of the document that comes first. A range self-join on cells of that
+    width and their neighbours.
     """
     cell = F.floor(F.col("distance") / width)
-    w = Window.partitionBy("query_id").orderBy("doc", "chunk_id")
-    p = points.withColumn("o", F.row_number().over(w))
-    a = p.where(F.col("distance") < near).select("query_id", F.col("doc").alias("da"), F.col("chunk_id").alias("a"), F.col("distance").alias("xa"), F.col("o").alias("oa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = p.select("query_id", F.col("doc").alias("db"), F.col("chunk_id").alias("b"), F.col("distance").alias("xb"), F.col("o").alias("ob"), cell.alias("cell"))
-    return a.join(b, ["query_id", "cell"]).where((F.col("oa") < F.col("ob")) & (F.col("da") != F.col("db")) & (F.abs(F.col("xa") - F.col("xb")) < width)).select("query_id", "a", "b")
+    a = points.where(F.col("distance") < near).select("query_id", F.col("doc").alias("da"), F.col("chunk_id").alias("a"), F.col("distance").alias("xa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    b = points.select("query_id", F.col("doc").alias("db"), F.col("chunk_id").alias("b"), F.col("distance").alias("xb"), cell.alias("cell"))
+    return a.join(b, ["query_id", "cell"]).where((F.col("da") < F.col("db")) & (F.abs(F.col("xa") - F.col("xb")) < width)).select("query_id", "a", "b")
+
+
+def bridge_counts(points: DataFrame, width: float = 0.06, near: float = 0.5) -> DataFrame:
+    """query_id, a, n_bridges: how many bridges begin at each chunk. Points of one document at one distance are counted first, so no pair is formed."""
+    cell = F.floor(F.col("distance") / width)
+    n = points.groupBy("query_id", "doc", "distance").agg(F.count("*").alias("n"))
+    a = n.where(F.col("distance") < near).select("query_id", "doc", "distance", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    b = n.select("query_id", F.col("doc").alias("db"), F.col("distance").alias("xb"), "n", cell.alias("cell"))
+    m = a.join(b, ["query_id", "cell"]).where((F.col("doc") < F.col("db")) & (F.abs(F.col("distance") - F.col("xb")) < width)).groupBy("query_id", "doc", "distance").agg(F.sum("n").alias("n_bridges"))
+    return points.join(m, ["query_id", "doc", "distance"]).select("query_id", F.col("chunk_id").alias("a"), "n_bridges")
 
 
 def locate_lines(asked: DataFrame, texts: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The stored corpus: documents and chunks as tables, written by replacing whole documents.
 
 Folders hold one Parquet table each. A change writes a new version beside the
-old one and then renames, so readers see one or the other and a lost executor
-loses nothing.
+old one and then renames; readers through ``read`` see one or the other, and a
+lost executor loses nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import squeezed
+from quarry.operators import chunking
+from quarry.sources import store
+
 
 def summaries(docs: DataFrame) -> DataFrame:
     """Documents without their content, newest first; ties by id."""
@@ -54,22 +58,61 @@ def delete(docs: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFram
 
 def upload(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """file, total_pages, total_characters, total_chunks, content: pages (file, page_no, text) of each file joined by blank lines, with the number of its chunks (column file)."""
-    whole = pages.groupBy("file").agg(F.count("*").cast("int").alias("total_pages"), F.sum(F.length("text").cast("long")).alias("total_characters"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n")
+    whole = pages.groupBy("file").agg(F.count("*").cast("int").alias("total_pages"), joined.alias("content"))
     n = chunks.groupBy("file").agg(F.count("*").alias("total_chunks"))
-    return whole.join(n, "file", "left").select("file", "total_pages", "total_characters", F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), "content")
+    return whole.join(n, "file", "left").select("file", "total_pages", F.length("content").cast("long").alias("total_characters"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), "content")
 
 
-def write(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replaces the table at path by the frame, which may be read from it: written beside, then renamed."""
+def ingest(pages: DataFrame, max_tokens: int = 256, overlap: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) of uploaded files: each page (file, page_no, text) is chunked, pages are joined, totals taken.
+
+    Chunks name their file as document and keep the page in their id. Files
+    without any text give no row.
+    """
+    filled = store.stored(pages.where(F.coalesce(squeezed(F.col("text")), F.lit("")) != ""))
+    named = filled.select(F.concat("file", F.lit("#Sayfa_"), F.col("page_no").cast("string")).alias("doc_id"), "text")
+    chunks = store.stored(chunking.chunk_documents(named, "doc_id", "text", max_tokens=max_tokens, overlap=overlap))
+    chunks = chunks.withColumn("doc_id", F.regexp_replace("doc_id", r"#Sayfa_\d+$", ""))
+    return upload(filled, chunks.select(F.col("doc_id").alias("file"))), chunks
+
+
+def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(old), True)
-    if fs.exists(hadoop.Path(path)):
-        fs.rename(hadoop.Path(path), hadoop.Path(old))
-    fs.rename(hadoop.Path(new), hadoop.Path(path))
-    fs.delete(hadoop.Path(old), True)
+    return fs, hadoop.Path(path), hadoop.Path(f"{path}.new"), hadoop.Path(f"{path}.old")
+
+
+def settle(spark: SparkSession, path: str) -> bool:
+    """Ends a replacement that was cut off between its renames; whether there is a table then."""
+    fs, now, new, old = _files(spark, path)
+    if not fs.exists(now):
+        if fs.exists(new.suffix("/_SUCCESS")):
+            fs.rename(new, now)
+        elif fs.exists(old):
+            fs.rename(old, now)
+    return fs.exists(now)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path; null where there is none."""
+    return spark.read.parquet(path) if settle(spark, path) else None
+
+
+def write(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Replaces the table at path by the frame, which may be read from it: written beside, then renamed.
+
+    If the job dies between the two renames, the next read or write through
+    this module ends them, so either the old or the new table is there.
+    """
+    settle(spark, path)
+    fs, now, new, old = _files(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(new, now)
+    fs.delete(old, True)
 
 
 def clear(spark: SparkSession, df: DataFrame, path: str) -> None:

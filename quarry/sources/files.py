@@ -33,12 +33,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return keep.select("doc_id", squeezed(F.col("raw")).alias("content"), meta.alias("metadata"))
 
 
-def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, extract: Callable[..., list[str]], password: str | None = None) -> DataFrame:
     """doc_id (file#Sayfa_n), file, page_no, content, metadata: pages of binary files by a pluggable extractor.
 
     A page of fewer than SCANNED_BELOW characters gets a warning in place of
     its text and the mark IsScannedOrImageOnly; a file that cannot be read
-    gives one row with page 0 and the error in its metadata.
+    gives one row with page 0 and the error in its metadata. A password goes to
+    the extractor as its second argument.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +47,7 @@ def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[s
             rows = []
             for name, data in zip(b.file, b.content, strict=True):
                 try:
-                    for n, t in enumerate(extract(bytes(data)), 1):
+                    for n, t in enumerate(extract(bytes(data), password) if password else extract(bytes(data)), 1):
                         thin = len(t.strip()) < SCANNED_BELOW
                         rows.append((f"{name}#Sayfa_{n}", name, n, WARNING if thin else t, {"SourceFile": name, "FileType": "PDF", "PageNumber": str(n), "IsScannedOrImageOnly": str(thin)}))
                 except Exception as e:  # noqa: BLE001 - any broken file becomes a row
@@ -57,10 +58,10 @@ def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[s
     return src.mapInPandas(run, "doc_id string, file string, page_no int, content string, metadata map<string,string>")
 
 
-def split_inline(text: DataFrame, marks: tuple[str, ...] = ("Doküman 1:", "Doküman 2:")) -> DataFrame:
-    """doc_id, content of inline corpora (column content): with a mark one document per filled line, else one in all."""
+def split_inline(text: DataFrame, marks: tuple[str, ...] = ("Doküman 1:", "Doküman 2:"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, content of inline corpora (column content) and the columns to keep: with a mark one document per filled line, else one in all."""
     marked = F.lit(False)
     for m in marks:
         marked = marked | F.contains("content", F.lit(m))
     lines = F.filter(F.transform(F.split("content", "\n"), squeezed), lambda x: x != "")
-    return text.select(F.posexplode(F.when(marked, lines).otherwise(F.array(squeezed(F.col("content"))))).alias("n", "content")).select(F.concat(F.lit("doc_"), F.col("n") + 1).alias("doc_id"), "content")
+    return text.select(*keep, F.posexplode(F.when(marked, lines).otherwise(F.array(squeezed(F.col("content"))))).alias("n", "piece")).select(*keep, F.concat(F.lit("doc_"), F.col("n") + 1).alias("doc_id"), F.col("piece").alias("content"))

@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, pages, retrieval, verification, views
-from quarry.plans import catalog
-from quarry.sources import corpus, files
+from quarry.functions import text as T
+from quarry.plans import catalog, hybrid
+from quarry.sources import corpus, files, store
 from quarry.streaming import ingest
 
 CHUNKS = [("c1", "d1", "Deterministic guardrails prevent LLM hallucinations."), ("c2", "d2", "Cooking Italian pasta requires boiling salted water."), ("c3", "d3", "Zero hallucination guarantees are achieved via strict context grounding.")]
@@ -15,14 +16,15 @@ def frame(spark, rows, schema):
 
 def test_bm25_matches_whole_words_only(spark):
     q = frame(spark, [("q", "hallucinations guardrails"), ("n", None), ("e", "")], "query_id string, query string")
-    got = retrieval.bm25(q, frame(spark, CHUNKS, "chunk_id string, doc_id string, content string"), 2).collect()
+    w = retrieval.chunk_words(frame(spark, CHUNKS, "chunk_id string, doc_id string, content string"))
+    got = retrieval.bm25(q, retrieval.postings(w), retrieval.corpus_stats(w), 2).collect()
     assert [(r.query_id, r.chunk_id, r.score, r.rank) for r in got] == [("q", "c1", 2.251084, 1)]
 
 
 def test_dense_hash_search(spark):
     c = frame(spark, [("c1", "Quantum computing algorithms for cryptography."), ("c2", "Baking chocolate chip cookies at home."), ("c3", "")], "chunk_id string, content string")
-    v = retrieval.hash_embeddings(c, "chunk_id", "content").withColumnRenamed("row_id", "chunk_id")
-    q = retrieval.hash_embeddings(frame(spark, [("q", "quantum cryptographic algorithms")], "query_id string, query string"), "query_id", "query").withColumnRenamed("row_id", "query_id")
+    v = retrieval.hash_embeddings(retrieval.chunk_words(c))
+    q = retrieval.embedded_queries(frame(spark, [("q", "quantum cryptographic algorithms")], "query_id string, query string"))
     got = retrieval.dense(q, v, 5).orderBy("rank").collect()
     assert [(r.chunk_id, r.score) for r in got] == [("c1", 0.565559), ("c2", 0.153533)]
 
@@ -40,8 +42,8 @@ def test_rerank_drops_noise(spark):
     c = frame(spark, [("r", "Strict Pydantic JSON schema enforcers eliminate parsing crashes."), ("n", "The weather in Seattle is rainy in November."), ("e", "")], "chunk_id string, content string")
     q = frame(spark, [("q", "JSON schema enforcer crash elimination")], "query_id string, query string")
     cand = frame(spark, [("q", "r", 1), ("q", "n", 2), ("q", "e", 3)], "query_id string, chunk_id string, rank int")
-    assert [(r.chunk_id, r.score) for r in retrieval.rerank(cand, q, c, 0.0, 5).orderBy("rank").collect()] == [("r", 0.655), ("n", 0.1)]
-    assert [r.chunk_id for r in retrieval.rerank(cand, q, c, 0.3, 5).collect()] == ["r"]
+    assert [(r.chunk_id, r.score) for r in retrieval.rerank(cand, q, retrieval.chunk_words(c), 0.0, 5).orderBy("rank").collect()] == [("r", 0.655), ("n", 0.1)]
+    assert [r.chunk_id for r in retrieval.rerank(cand, q, retrieval.chunk_words(c), 0.3, 5).collect()] == ["r"]
 
 
 def test_upsert_keeps_ordinals(spark):
@@ -192,3 +194,133 @@ def test_mrr_looks_at_the_whole_fused_list(spark, tmp_path):
     frame(spark, hits, "query_id string, chunk_id string, retrieval_type string, rank int").write.parquet(f"{tmp_path}/hits.parquet")
     frame(spark, [("q", "x", ["c01200"])], "query_id string, query string, expected_chunk_ids array<string>").write.parquet(f"{tmp_path}/queries.parquet")
     assert [tuple(r) for r in catalog.ranking_metrics(spark, str(tmp_path)).collect()] == [("q", 0.0, 0.0, round(1 / 1200, 6), 0.0)]
+
+
+def test_ties_go_by_chunk_order(spark, monkeypatch):
+    c = frame(spark, [(f"d_c{i}", "d", i, "same words here") for i in (10, 2, 0)] + [("a_c0", "a", 0, "other")], "chunk_id string, doc_id string, chunk_index int, content string")
+    i = hybrid.build(c)
+    q = frame(spark, [("q", "same words")], "query_id string, query string")
+    want = ["d_c0", "d_c2", "d_c10"]
+    assert [r.chunk_id for r in retrieval.bm25(q, i.postings, i.stats, 5).orderBy("rank").collect()] == want
+    assert [r.chunk_id for r in retrieval.dense(retrieval.embedded_queries(q), i.vectors, 3).orderBy("rank").collect()] == want
+    many = frame(spark, [(f"q{k}", "same words") for k in range(9)], "query_id string, query string")
+    plain = sorted(map(tuple, retrieval.dense(retrieval.embedded_queries(many), i.vectors, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, retrieval.dense(retrieval.embedded_queries(many), i.vectors, 3).collect())) == plain
+    assert [r.chunk_id for r in retrieval.bm25(many, i.postings, i.stats, 3).where("query_id = 'q4'").orderBy("rank").collect()] == want
+
+
+def test_parameters(spark):
+    c = frame(spark, CHUNKS, "chunk_id string, doc_id string, content string")
+    i, q = hybrid.build(c, dims=128), frame(spark, [("q", "hallucinations guardrails")], "query_id string, query string")
+    assert retrieval.bm25(q, i.postings, i.stats, 2, k1=0.0).first().score != retrieval.bm25(q, i.postings, i.stats, 2).first().score
+    v = i.vectors.where("chunk_id = 'c1'").first().vec
+    assert len(v) == 128 and v[:32] == v[32:64] and abs(sum(x * x for x in v) - 1) < 1e-9
+    got = hybrid.retrieve(frame(spark, [("q", "strict context grounding"), ("b", " ")], "query_id string, query string"), i, k=2, cutoff=0.1, dims=128).collect()
+    assert {r.query_id for r in got} == {"q"} and got[0].chunk_id == "c3"
+
+
+def test_index_is_written_and_upserted(spark, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "chunk_id string, doc_id string, chunk_index int, content string"
+    assert hybrid.write_index(spark, frame(spark, [("a", "d", 0, "alpha beta"), ("b", "d", 1, "gamma")], schema), path)
+    assert not hybrid.write_index(spark, frame(spark, [], schema), path)
+    assert hybrid.write_index(spark, frame(spark, [("b", "d", 1, "delta"), ("c", "d", 2, "alpha")], schema), path)
+    i = hybrid.read_index(spark, path)
+    assert {r.chunk_id for r in i.postings.collect()} == {"b", "c"} and i.stats.first().n == 2
+    assert [(r.chunk_id, r.ordinal) for r in i.vectors.orderBy("ordinal").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    got = hybrid.retrieve(frame(spark, [("q", "alpha")], "query_id string, query string"), i, k=1)
+    assert [r.chunk_id for r in got.collect()] == ["c"]
+
+
+def test_dosages_run_over_chunks(spark):
+    c = frame(spark, [("c1", "the dose is 500"), ("c2", "mg daily"), ("c3", "5 KAPSÜL")], "chunk_id string, content string")
+    ctx = frame(spark, [("q", "c1", 1), ("q", "c2", 2), ("r", "c2", 1), ("r", "c1", 2), ("s", "c3", 1)], "query_id string, chunk_id string, rank int")
+    a = frame(spark, [("q", 1, "Take 500mg or 2 ml."), ("r", 1, "500 mg"), ("s", 1, "5 Kapsül"), ("t", 1, "7 mg"), ("u", 1, None)], "query_id string, attempt int, response string")
+    got = {r.query_id: (r.extracted, r.missing, r.is_valid, r.lost) for r in verification.dosage_check(a, ctx, c).collect()}
+    assert got == {"q": (2, 1, False, ["2ml"]), "r": (1, 1, False, ["500mg"]), "s": (1, 0, True, []), "t": (1, 1, False, ["7mg"]), "u": (0, 0, True, [])}
+
+
+def test_headings_in_any_case(spark):
+    rows = [("Başlık\nözet burada", "özet burada"), ("x\nÖzet\ny", "Özet\ny"), ("KLİNİK x\ncite THIS article AS: a\nrest", "rest"), ("none", "none")]
+    got = frame(spark, [(i, a) for i, (a, _) in enumerate(rows)], "i int, p string").select("i", pages.body_start(F.col("p")).alias("b"), pages.without_badges(F.lit("klinik çalışma\nx Review Article y")).alias("w")).orderBy("i").collect()
+    assert [r.b for r in got] == [b for _, b in rows] and got[0].w == "x y"
+
+
+def test_page_metadata_wins(spark):
+    m = pages.page_metadata(F.create_map(F.lit("FileType"), F.lit("MD"), F.lit("k"), F.lit("v")), F.lit("f"), F.lit(2), F.lit(3), F.lit(True))
+    assert spark.range(1).select(m.alias("m")).first().m == {"k": "v", "SourceFile": "f", "PageNumber": "2", "TotalPages": "3", "FileType": "PDF", "IsScannedOrImageOnly": "True"}
+    none = pages.page_metadata(F.lit(None).cast("map<string,string>"), F.lit("f"), F.lit(1), F.lit(1), F.lit(False))
+    assert len(spark.range(1).select(none.alias("m")).first().m) == 5
+
+
+def test_messages_and_prompts(spark):
+    c = frame(spark, CHUNKS, "chunk_id string, doc_id string, content string")
+    ctx = frame(spark, [("q", "c1", 2), ("q", "c3", 1)], "query_id string, chunk_id string, rank int")
+    a = frame(spark, [("q", 1, "Kubernetes clusters require etcd, Redis caches and guardrails everywhere."), ("q", 2, "Strict context grounding prevents hallucinations."), ("q", 3, None), ("x", 1, "Nothing known.")], "query_id string, attempt int, response string")
+    v = verification.verdicts(a, ctx, c)
+    m = {(r.query_id, r.attempt): r.messages for r in v.collect()}
+    assert m["q", 1] == ['Ungrounded claim detected at sentence 1 (Support: 12.5 %): "Kubernetes clusters require etcd, Redis caches and guardrails everywhere."']
+    assert m["q", 2] == [] and m["q", 3] == [verification.EMPTY_ANSWER] and m["x", 1] == [verification.NO_CONTEXT]
+    p = {(r.query_id, r.attempt): r.prompt for r in verification.prompts(frame(spark, [("q", "Why?"), ("x", None)], "query_id string, query string"), v, ctx, c).collect()}
+    assert p["q", 1].startswith("### SOURCE CONTEXT DOCUMENTS:\n[DOC_1]: Zero") and "FEEDBACK" not in p["q", 1] and p["q", 1].endswith("### USER QUERY:\nWhy?\n\n### FACTUAL ANSWER (Ground directly in DOCs):\n")
+    assert "- Ungrounded claim" in p["q", 2] and "FEEDBACK" not in p["q", 3]
+
+
+def test_typed_json_codes(spark):
+    raws = ['{"ID": "a", "n": 1}', "```json\n{'id': 'a', 'n': 2,\n```", '{"id": 5}', "null", " ", None, "no json", '{"id": "a", "n": "1"}', "[1]", '{"n": 3} // note', "4.8 for"]
+    df = frame(spark, list(enumerate(raws)), "i int, raw string")
+    got = [(r.x.code, r.x.value and tuple(r.x.value)) for r in df.select("i", T.typed_json(F.col("raw"), {"id": "string", "n": "bigint"}).alias("x")).orderBy("i").collect()]
+    bad = ("SchemaViolation", None)
+    assert got == [(None, ("a", 1)), (None, ("a", 2)), bad, ("NullParsedObject", None), ("EmptyOutput", None), ("EmptyOutput", None), bad, bad, bad, (None, (None, 3)), bad]
+    raw = [r.c for r in df.select("i", T.raw_json_code(F.col("raw")).alias("c")).orderBy("i").collect()]
+    assert raw == [None, "InvalidJson", None, None, "EmptyOutput", "EmptyOutput", "InvalidJson", None, None, "InvalidJson", "InvalidJson"]
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    left = store.stored(spark.range(3000).selectExpr("if(id < 2900, 'hot', concat('k', id)) AS key", "id"))
+    right = frame(spark, [("hot", 1)] + [(f"k{i}", i) for i in range(2900, 3100)], "key string, v long")
+    plain = sorted(map(tuple, left.join(right, "key").collect()))
+    monkeypatch.setattr(store, "HOT_ROWS", 500)
+    assert sorted(map(tuple, store.skew_join(left, right, "key").collect())) == plain
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, store.skew_join(left, right, "key").collect())) == plain
+
+
+def test_hot_chunk_gives_the_same_verdicts(spark, small, monkeypatch):
+    plain = sorted(map(tuple, catalog.grounding_verdicts(spark, small).collect()))
+    monkeypatch.setattr(store, "HOT_ROWS", 2)
+    assert sorted(map(tuple, catalog.grounding_verdicts(spark, small).collect())) == plain
+
+
+def test_a_cut_off_replacement_is_ended(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert corpus.read(spark, path) is None
+    spark.range(3).write.parquet(f"{path}.new")
+    spark.range(2).write.parquet(f"{path}.old")
+    assert corpus.read(spark, path).count() == 3
+    corpus.write(spark, spark.range(5), path)
+    assert corpus.read(spark, path).count() == 5 and not (tmp_path / "t.new").exists() and not (tmp_path / "t.old").exists()
+
+
+def test_ingest(spark):
+    p = frame(spark, [("f", 1, "One sentence here."), ("f", 2, "  "), ("f", 3, "Another one. " * 200), ("g", 1, None)], "file string, page_no int, text string")
+    d, c = corpus.ingest(p)
+    r = d.first()
+    assert d.count() == 1 and (r.file, r.total_pages, r.total_characters) == ("f", 2, 18 + 2 + 2600) and r.total_chunks == c.count() > 2
+    assert {x.chunk_id for x in c.collect()} >= {"f#Sayfa_1_c0", "f#Sayfa_3_c0"} and {x.doc_id for x in c.collect()} == {"f"}
+
+
+def test_bridge_counts_are_counts_of_bridges(spark, small):
+    pts = catalog._points(spark, small)
+    want = {(r.query_id, r.a): r.n for r in views.bridges(pts, near=0.9).groupBy("query_id", "a").agg(F.count("*").alias("n")).collect()}
+    assert {(r.query_id, r.a): r.n_bridges for r in views.bridge_counts(pts, near=0.9).collect()} == want and want
+
+
+def test_streamed_buckets(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(2):
+        spark.range(40).selectExpr("concat('c', id) AS chunk_id", f"'{k}' AS content", f"timestamp'2024-01-0{k + 1}' AS arrived_at").where("id < 40" if k == 0 else "id < 1").write.mode("append").parquet(src)
+        ingest.upsert_stream(spark.readStream.schema("chunk_id string, content string, arrived_at timestamp").parquet(src), out, str(tmp_path / "cp"), buckets=8).awaitTermination(120)
+    got = {r.chunk_id: r.content for r in spark.read.parquet(out).collect()}
+    assert len(got) == 40 and got["c0"] == "1" and got["c1"] == "0"
