@@ -8,12 +8,12 @@ operations; no Python code runs per word or per character.
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.sources import store
 
 #: Texts are laid together up to about this many code points; a longer text stands alone.
 BLOCK_CHARS = 1_000_000
@@ -133,21 +133,9 @@ def group_starts(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[at], at
 
 
-def checkpointed(spark: SparkSession, df):
-    """Reliable checkpoint in the folder of spark.checkpoint.dir.
-
-    Where that is unset a folder of our own is taken in local mode only; on a
-    cluster, whose executors would each write to a disk of their own, it is an
-    error. Spark removes the files once the frame is garbage where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder of spark.checkpoint.dir (see quarry.sources.store)."""
+    return store.stored(df)
 
 
 def filled(values: Iterable) -> list[str]:

@@ -553,5 +553,8 @@ def test_checkpoints_need_a_shared_folder_on_clusters():
         sparkContext = Context
         conf = {}
 
+    class Frame:
+        sparkSession = Session
+
     with pytest.raises(RuntimeError):
-        K.checkpointed(Session, None)
+        K.checkpointed(Session, Frame)
