@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,7 +180,11 @@ def base_name(chunk_or_page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(chunk_or_page, r"_c\d+$", ""), r"#Sayfa_\d+$", "")
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Inner product; written out term by term where the length is known and small."""
+    if dims and dims <= 64:
+        terms = [F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dims)]
+        return reduce(lambda x, y: x + y, terms)
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 

@@ -147,7 +147,7 @@ def hybrid_index(s, sf):
 
 
 def dense_topk_hash(s, sf):
-    return retrieval.dense(retrieval.embedded_queries(_asked(s, sf)), retrieval.hash_embeddings(_words(s, sf)), 5)
+    return retrieval.dense(retrieval.embedded_queries(_asked(s, sf)), retrieval.hash_embeddings(_words(s, sf)), 5, retrieval.DIMS)
 
 
 def dense_topk_vectors(s, sf):
