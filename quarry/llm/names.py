@@ -7,6 +7,13 @@ entity are verified by a soft token similarity in which rare tokens count
 more: a token agrees in full, by nickname, by a typing error, as an initial or
 abbreviation, or in another language.
 
+Nicknames, and words of institutions in other languages or shortened, come from
+short lists of general forms and from the strings themselves: an unexplained
+given name that stands beside the last names of many bearers of one given name
+is taken for a form of it; which words of institutions stand for which is
+estimated over the strings whose own word names one institution only (a word
+alignment, re-estimated EM_ROUNDS times).
+
 A misspelling is only believed while it is much rarer than the name it would
 be a misspelling of, so a neighbouring real name is not taken for one. Of the
 entities that a string fits equally well all are kept. Null values, empty
@@ -30,6 +37,12 @@ Q = 2  #: length of q-grams
 GRAM_SIMILARITY = 0.35  #: Jaccard of the q-grams of two tokens that may be one word
 RARER = 0.2  #: how often a misspelling may occur beside what it misspells, as a share
 ACCEPT = 0.6  #: soft similarity from which a string names an entity
+#: A word of this share of the organisations, and of so many, says of what kind they are and is no name.
+KIND_SHARE, MIN_KIND = 0.05, 4
+#: A given name is another form of one where so many last names, and this share of those it stands beside, have a bearer of that one.
+MIN_BEARERS, BEARERS = 3, 0.6
+#: A word stands for a word of the registry with at least this probability, seen in so many strings.
+STANDS_FOR, MIN_STRINGS, EM_ROUNDS = 0.2, 3, 3
 
 # Forms of address and titles, folded.
 TITLES = frozenset("dr prof doc yrd uzm op av mr mrs ms md phd sn bay bayan herr frau hr fr ass arş gor ogr".split())
@@ -83,11 +96,11 @@ def _believed(typed: str, meant: str, df: dict[str, int]) -> bool:
     return len(meant) >= 4 and edits(typed, meant) == 1 and df.get(typed, 1) <= 1 + RARER * df.get(meant, 1)
 
 
-def _given(typed: str, meant: str, df: dict[str, int]) -> float:
+def _given(typed: str, meant: str, df: dict[str, int], learned: dict[str, frozenset[str]]) -> float:
     """Agreement of a typed given name with a registered one."""
     if typed == meant:
         return 1.0
-    if _FULL.get(typed) == meant or (meant in NICKNAMES and typed in NICKNAMES[meant].split()):
+    if meant in learned.get(typed, ()) or _FULL.get(typed) == meant or (meant in NICKNAMES and typed in NICKNAMES[meant].split()):
         return 0.9
     if len(typed) == 1:
         return 0.7 if meant[0] == typed else 0.0
@@ -96,7 +109,7 @@ def _given(typed: str, meant: str, df: dict[str, int]) -> float:
     return 0.0
 
 
-def _person(typed: list[str], name: list[str], df: dict[str, int], weight: dict[str, float]) -> float:
+def _person(typed: list[str], name: list[str], df: dict[str, int], weight: dict[str, float], learned: dict[str, frozenset[str]]) -> float:
     typed = [t for t in typed if t not in TITLES]
     if not 2 <= len(typed) <= len(name):
         return 0.0
@@ -108,11 +121,11 @@ def _person(typed: list[str], name: list[str], df: dict[str, int], weight: dict[
             continue
         rest = typed[:i] + typed[i + 1 :]
         for j, f in enumerate(rest):
-            given = _given(f, first, df)
+            given = _given(f, first, df, learned)
             left = rest[:j] + rest[j + 1 :]
             if not given or len(left) > len(middle):
                 continue
-            agree = [_given(x, m, df) for x, m in zip(left, middle, strict=False)]
+            agree = [_given(x, m, df, learned) for x, m in zip(left, middle, strict=False)]
             if not all(agree):
                 continue
             w = [weight.get(last, 1.0), weight.get(first, 1.0), *(weight.get(m, 1.0) for m in middle)]
@@ -146,23 +159,79 @@ def _same_words(typed: list[str], meant: list[str], df: dict[str, int]) -> float
     return 0.85 if misspelt else 1.0
 
 
-def _organisation(typed: list[str], name: list[str], df: dict[str, int], weight: dict[str, float]) -> float:
-    sides = []
-    for side in (typed, name):
-        words = [t for t in side if t not in _STOP]
-        kinds = {m for t in words if (m := _meaning(t))}
-        sides.append((kinds, [t for t in words if not _meaning(t)]))
-    (a, pa), (b, pb) = sides
+def _shortened(typed: str, meant: str) -> bool:
+    """The first letters of a word, or some of its letters in order from the first on."""
+    if not 3 <= len(typed) < len(meant) or typed[0] != meant[0]:
+        return False
+    rest = iter(meant)
+    return all(c in rest for c in typed)
+
+
+def _stands_for(typed: str, meant: str, learned: dict[str, frozenset[str]]) -> bool:
+    m = _meaning(typed)
+    return typed == meant or (m is not None and m == _meaning(meant)) or meant in learned.get(typed, ()) or _shortened(typed, meant) or (len(meant) >= 6 and edits(typed, meant) == 1)
+
+
+def _organisation(typed: list[str], name: list[str], kinds: set[str], df: dict[str, int], weight: dict[str, float], learned: dict[str, frozenset[str]]) -> float:
+    """kinds: the words of the name that say of what kind the organisation is."""
+    words = [t for t in typed if t not in _STOP]
+    of_kind = [x for x in name if x in kinds]
+    pb = [x for x in name if x not in kinds and x not in _STOP]
+    told = [t for t in words if t not in pb and (_meaning(t) or t in kinds or learned.get(t) or any(_stands_for(t, x, learned) for x in of_kind))]
+    pa = list(words)
+    for t in told:
+        pa.remove(t)
     if not pa and len(typed) == 1:
         return 0.0
     own = _same_words(pa, pb, df)
-    if not own or not a or not b:
+    if not own or not told or not of_kind:
         return 0.0
-    same = len(a & b) / len(a | b)
+    a, b = {_meaning(t) or t for t in told}, {_meaning(x) or x for x in of_kind}
+    fits = sum(any(_stands_for(t, x, learned) for x in of_kind) for t in told) + sum(any(_stands_for(t, x, learned) for t in told) for x in of_kind)
+    same = max(len(a & b) / len(a | b), fits / (len(told) + len(of_kind)))
     w = max(weight.get(x, 1.0) for x in pb)
     return (w * own + 2 * same) / (w + 2) if same >= 0.6 else 0.0
 
 
+def name_forms(cand: DataFrame) -> DataFrame:
+    """kind, token, means: given names that stand for others, by the last names beside which they stand.
+
+    cand: kind, tokens, name of strings and the entities whose last name they
+    may hold. Given names of the registry stand for themselves only.
+    """
+    p = cand.where("kind = 'person'").select("tokens", "name", F.element_at("name", -1).alias("last"), F.element_at("name", 1).alias("given")).where(F.array_contains("tokens", F.col("last")))
+    titles = F.array(*[F.lit(t) for t in sorted(TITLES)])
+    free = F.filter("tokens", lambda t: (F.length(t) >= 3) & ~F.array_contains("name", t) & ~F.array_contains(titles, t))
+    seen = p.select("given", "last", F.array_contains("tokens", F.col("given")).alias("named"), F.explode(free).alias("token")).distinct()
+    beside = seen.groupBy("token").agg(F.countDistinct("last").alias("n"))
+    known = p.select(F.explode(F.slice("name", F.lit(1), F.size("name") - 1)).alias("token")).distinct()
+    bearers = seen.where("NOT named").groupBy("token", "given").agg(F.countDistinct("last").alias("m")).where(F.col("m") >= MIN_BEARERS)
+    forms = bearers.join(beside, "token").where(F.col("m") >= BEARERS * F.col("n")).join(known, "token", "left_anti")
+    return forms.groupBy("token").agg(F.collect_set("given").alias("means")).select(F.lit("person").alias("kind"), "token", "means")
+
+
+def kind_forms(cand: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kind, token, means: typed words of institutions and the words of the registry that they stand for.
+
+    cand: kind, typed, entity_id, tokens, name; kinds: entity_id, of_kind. Only
+    strings that hold all own words of exactly one institution are looked at.
+    """
+    stop = F.array(*[F.lit(x) for x in sorted(_STOP)])
+    o = cand.where("kind <> 'person'").join(kinds, "entity_id").withColumn("own", F.filter("name", lambda t: ~F.array_contains("of_kind", t) & ~F.array_contains(stop, t)))
+    o = o.where((F.size("own") > 0) & (F.size(F.array_except("own", "tokens")) == 0)).withColumn("m", F.count("*").over(Window.partitionBy("kind", "typed"))).where("m = 1")
+    left = F.array_distinct(F.filter("tokens", lambda t: ~F.array_contains("own", t) & ~F.array_contains(stop, t)))
+    pairs = o.select("kind", "typed", left.alias("u"), "of_kind").select("kind", "typed", F.explode("u").alias("u"), "of_kind").select("kind", "typed", "u", F.explode("of_kind").alias("v"))
+    pairs = K.checkpointed(cand.sparkSession, pairs)
+    p = pairs.withColumn("p", F.lit(1.0))
+    for _ in range(EM_ROUNDS):
+        share = p.withColumn("c", F.col("p") / F.sum("p").over(Window.partitionBy("kind", "typed", "v")))
+        t = share.groupBy("kind", "u", "v").agg(F.sum("c").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("kind", "u")))
+        p = pairs.join(t.select("kind", "u", "v", "p"), ["kind", "u", "v"])
+    strings = pairs.groupBy("kind", "u").agg(F.countDistinct("typed").alias("n")).where(F.col("n") >= MIN_STRINGS)
+    good = p.where(F.col("p") >= STANDS_FOR).select("kind", "u", "v").distinct().join(strings, ["kind", "u"])
+    return good.groupBy("kind", F.col("u").alias("token")).agg(F.collect_set("v").alias("means"))
+
+
 def _strings(df: DataFrame, row_id: str, metadata: str, fields: dict[str, tuple[str, str | None]]) -> DataFrame:
     """id, field_name, kind, typed: a row for each name string of the fields."""
     def part(field: str, kind: str, separator: str | None) -> Column:
@@ -234,16 +303,23 @@ def link_names(df: DataFrame, registry: DataFrame, row_id: str = "id", metadata:
     known = K.checkpointed(spark, known.select(F.col("n").alias("entity_id"), "kind", F.col("tokens").alias("name"), initials.alias("initials")))
     words = known.select("entity_id", "kind", "name", F.explode(F.array_distinct("name")).alias("token"))
     often = words.groupBy("token").agg(F.count("*").alias("names"))
-    # The distinguishing words of an entity: what is no word of institutions; of a person the last name.
-    telling = words.where(F.when(F.col("kind") == "person", F.col("token") == F.element_at("name", -1)).otherwise(~F.col("token").isin(*_MEANING, *_STOP))).select("entity_id", "kind", "token")
+    listed = [*_MEANING, *_STOP]
+    total = known.groupBy("kind").agg(F.count("*").alias("all"))
+    common = words.where("kind <> 'person'").groupBy("kind", "token").agg(F.count("*").alias("n")).join(total, "kind").where((F.col("n") >= MIN_KIND) & (F.col("n") >= KIND_SHARE * F.col("all"))).select("kind", "token", F.lit(True).alias("common"))
+    words = K.checkpointed(spark, words.join(common, ["kind", "token"], "left").withColumn("of_kind", (F.col("kind") != "person") & (F.coalesce("common", F.lit(False)) | (F.col("token").isin(*_MEANING) if _MEANING else F.lit(False)))))
+    kinds = words.groupBy("entity_id").agg(F.collect_set(F.when(F.col("of_kind"), F.col("token"))).alias("of_kind"))
+    # The distinguishing words of an entity: what says nothing of its kind; of a person the last name.
+    telling = words.where(F.when(F.col("kind") == "person", F.col("token") == F.element_at("name", -1)).otherwise(~F.col("of_kind") & ~F.col("token").isin(*listed))).select("entity_id", "kind", "token")
     near = similar_tokens(distinct.select(F.explode("tokens").alias("token")).distinct(), telling.select("token").distinct())
     by_token = distinct.select("kind", "typed", F.explode(F.array_distinct("tokens")).alias("a")).join(near, "a").join(telling.withColumnRenamed("token", "b"), ["kind", "b"]).select("kind", "typed", "entity_id").distinct()
     short = distinct.where("kind <> 'person' AND size(tokens) = 1 AND length(tokens[0]) > 1 AND typed = upper(typed)").select("kind", "typed", F.col("tokens")[0].alias("initials"))
     by_initials = short.join(known.select("kind", "entity_id", "initials"), ["kind", "initials"]).select("kind", "typed", "entity_id")
     cand = by_token.unionByName(by_initials).join(distinct.select("kind", "typed", "tokens"), ["kind", "typed"]).join(known, ["entity_id", "kind"])
     cand = K.checkpointed(spark, cand)
-    # Counts of the tokens that a verification needs come along as maps.
-    need = cand.select("kind", "typed", "entity_id", F.explode(F.array_distinct(F.concat("tokens", "name"))).alias("token")).join(count, "token", "left").join(often, "token", "left").groupBy("kind", "typed", "entity_id").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("names", F.lit(1)).alias("names"))).alias("counts"))
+    learned = K.checkpointed(spark, name_forms(cand).unionByName(kind_forms(cand, kinds)))
+    cand = cand.join(kinds, "entity_id")
+    # What a verification needs to know of the tokens comes along.
+    need = cand.select("kind", "typed", "entity_id", F.explode(F.array_distinct(F.concat("tokens", "name"))).alias("token")).join(count, "token", "left").join(often, "token", "left").join(learned, ["kind", "token"], "left").groupBy("kind", "typed", "entity_id").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("names", F.lit(1)).alias("names"), "means")).alias("counts"))
     verified = cand.join(need, ["kind", "typed", "entity_id"]).mapInPandas(_verify, "kind string, typed string, entity_id long, similarity double")
     best = F.max("similarity").over(Window.partitionBy("kind", "typed"))
     fits = verified.withColumn("best", best).where("similarity >= best - 1e-9").select("kind", "typed", "entity_id", "similarity")
@@ -256,13 +332,14 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in b.itertuples(index=False):
             df, names = {c["token"]: c["df"] for c in r.counts}, {c["token"]: c["names"] for c in r.counts}
             weight = {t: 1 / math.log2(1 + n) for t, n in names.items()}
+            learned = {c["token"]: frozenset(c["means"]) for c in r.counts if c["means"] is not None}
             typed, name = list(r.tokens), list(r.name)
             if r.kind == "person":
-                s = _person(typed, name, df, weight)
+                s = _person(typed, name, df, weight, learned)
             elif len(typed) == 1 and typed[0] == r.initials:
                 s = ACCEPT
             else:
-                s = _organisation(typed, name, df, weight)
+                s = _organisation(typed, name, set(r.of_kind), df, weight, learned)
             if s >= ACCEPT:
                 rows.append((r.kind, r.typed, r.entity_id, round(s, 6)))
         yield pd.DataFrame(rows, columns=["kind", "typed", "entity_id", "similarity"])
