@@ -9,7 +9,8 @@ edit distance with confusion pairs says how likely the misreading is, and
 neighbouring words decide between several candidates. An edit that is no
 confusion pair (one character for, or beside, one or two others, in words of
 letters) is believed only where the word that was meant is known beside both
-neighbours.
+neighbours; once that has confirmed an edit for many words, it counts as a
+confusion of these texts and is believed like a listed one.
 
 Running headers are found by their repetition: a short line that no sentence
 end precedes, in several documents. Null and empty contents and contents that
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import kernel as K
 from quarry.llm.visual_form import form
+from quarry.sources import store
 
 #: A misreading is at most so frequent beside the word that was meant (CLEAN: in clean texts), and a suspect there beside its own occurrences in scans.
 RARER, CLEAN, SUSPECT = 0.05, 0.01, 0.2
@@ -47,6 +49,8 @@ CONFUSIONS = {
 }
 OTHER, MAX_COST = 1.0, 0.4
 MIN_TWO_PLACES = 6  #: letters of a word that may be misread in two places apart
+#: An unlisted edit is a confusion of these texts where so many misread words, and this share of those that it would explain, are confirmed by both neighbours.
+MIN_CONFIRMED, CONFIRMED, LEARNT = 4, 0.25, 0.38
 MIN_BESIDE = 2  #: how often the word that was meant stands beside each neighbour, for an edit above MAX_COST
 #: Words whose neighbours are counted are sent to the texts up to so many, else joined by a shuffle.
 BROADCAST_WORDS = 200_000
@@ -208,6 +212,16 @@ def _deletes(w: Column) -> Column:
     return F.array_distinct(F.concat(F.array(w), one, apart))
 
 
+def _differing(read: str, meant: str) -> tuple[Column, Column]:
+    """What is read and what is meant between the beginning and the end that two words share, as a and b."""
+    r, m = F.col(read), F.col(meant)
+    n = F.least(F.length(r), F.length(m))
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    i = F.size(F.filter(upto(n), lambda k: F.left(r, k) == F.left(m, k)))
+    j = F.size(F.filter(upto(n - i), lambda k: F.right(r, k) == F.right(m, k)))
+    return F.substring(r, i + 1, F.length(r) - i - j).alias("a"), F.substring(m, i + 1, F.length(m) - i - j).alias("b")
+
+
 _IDS = {c: i for i, c in enumerate(sorted({c for pair in CONFUSIONS for c in pair[0] + pair[1]}), 1)}
 _PACKED = sorted((_pack, cost) for (x, y), cost in CONFUSIONS.items() for _pack in [sum(_IDS[c] << (6 * k) for k, c in zip((3, 2) if len(x) == 2 else (2,), x)) + sum(_IDS[c] << (6 * k) for k, c in zip((1, 0) if len(y) == 2 else (0,), y))])
 _PAIR, _PAIR_COST = np.array([k for k, _ in _PACKED]), np.array([c for _, c in _PACKED])
@@ -300,14 +314,17 @@ class Scans:
         # No misreading: another case, a hyphen more or less, two for two characters, a code or number of its own.
         other = F.col("meant").rlike(r"^[\p{L}\p{M}'’-]+$") & (F.lower("read") != F.lower("meant")) & (F.translate("read", "-", "") != F.translate("meant", "-", "")) & ((F.col("cost") <= OTHER) | (F.length("read") != F.length("meant")))
         scored = near.withColumn("cost", F.pandas_udf(_costs, "double")("read", "meant")).where((F.col("cost") <= MAX_COST) | other)
-        self.repairs = K.checkpointed(spark, scored.select("read", "meant", "surface", "n_meant", "cost").withColumn("choices", F.count("*").over(Window.partitionBy("read"))))
+        self.repairs = K.checkpointed(spark, scored.select("read", "meant", "surface", "n_meant", "cost", *_differing("read", "meant")).withColumn("choices", F.count("*").over(Window.partitionBy("read"))))
 
     def corrections(self) -> DataFrame:
-        """read, before, after, meant, surface: the best correction of a word, where several compete beside its neighbours."""
-        alone = (F.col("choices") == 1) & (F.col("cost") <= MAX_COST)
-        one = self.repairs.where(alone).select(F.col("read"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), "meant", "surface")
+        """read, before, after, meant, surface: the best correction of a word, where several compete beside its neighbours.
+
+        Costs are learnt on the way: edits that are in no list but that the
+        neighbours confirm for many words cost no more than listed ones then.
+        """
         words = self.units.where("kind <> 'furniture'").select(lower_first(F.col("word")).alias("key"), "before", "after")
-        unsure = K.checkpointed(self.units.sparkSession, self.repairs.where(~alone))
+        listed = (F.col("choices") == 1) & (F.col("cost") <= MAX_COST)
+        unsure = K.checkpointed(self.units.sparkSession, self.repairs.where(~listed))
         asked = unsure.select(F.col("meant").alias("key")).distinct()
         few = asked.count() <= BROADCAST_WORDS
         beside = self.clean_words.select(F.explode(F.transform("w", lambda x, i: F.struct(lower_first(x).alias("key"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))).alias("x")).select("x.*")
@@ -317,9 +334,16 @@ class Scans:
         nexts = known.groupBy("key", "after").agg(F.sum("n").alias("n"))
         some = words.withColumnRenamed("key", "read").join(unsure, "read").distinct()
         scored = some.join(pairs.select(F.col("key").alias("meant"), "before", F.col("n").alias("n_before")), ["meant", "before"], "left").join(nexts.select(F.col("key").alias("meant"), "after", F.col("n").alias("n_after")), ["meant", "after"], "left")
-        believed = (F.col("cost") <= MAX_COST) | (((F.col("before") == "") | (F.col("n_before") >= MIN_BESIDE)) & ((F.col("after") == "") | (F.col("n_after") >= MIN_BESIDE)) & (F.concat("before", "after") != ""))
+        told = ((F.col("before") == "") | (F.col("n_before") >= MIN_BESIDE)) & ((F.col("after") == "") | (F.col("n_after") >= MIN_BESIDE)) & (F.concat("before", "after") != "")
+        scored = K.checkpointed(self.units.sparkSession, scored.withColumn("told", F.coalesce(told, F.lit(False))))
+        by_word = scored.where(F.col("cost") > MAX_COST).groupBy("a", "b", "read").agg(F.max("told").alias("told"))
+        learnt = by_word.groupBy("a", "b").agg(F.count_if("told").alias("m"), F.count("*").alias("n")).where((F.col("m") >= MIN_CONFIRMED) & (F.col("m") >= CONFIRMED * F.col("n"))).select("a", "b", F.lit(LEARNT).alias("learnt"))
+        cheaper = lambda df: df.join(store.small(learnt), ["a", "b"], "left").withColumn("cost", F.least("cost", F.coalesce("learnt", F.lit(OTHER * 9)))).drop("learnt")
+        alone = cheaper(self.repairs).where((F.col("choices") == 1) & (F.col("cost") <= MAX_COST))
+        one = alone.select("read", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), "meant", "surface")
+        believed = (F.col("cost") <= MAX_COST) | F.col("told")
         score = 2 * F.log1p(F.coalesce("n_before", F.lit(0))) + 2 * F.log1p(F.coalesce("n_after", F.lit(0))) + F.log("n_meant") - 20 * F.col("cost")
-        best = scored.where(believed).groupBy("read", "before", "after").agg(F.max_by(F.struct("meant", "surface"), F.struct(score, F.col("meant"))).alias("x"))
+        best = cheaper(scored).where(believed & ~((F.col("choices") == 1) & (F.col("cost") <= MAX_COST))).groupBy("read", "before", "after").agg(F.max_by(F.struct("meant", "surface"), F.struct(score, F.col("meant"))).alias("x"))
         return one.unionByName(best.select("read", "before", "after", "x.meant", "x.surface"))
 
     def found(self) -> DataFrame:

@@ -558,3 +558,30 @@ def test_checkpoints_need_a_shared_folder_on_clusters():
 
     with pytest.raises(RuntimeError):
         K.checkpointed(Session, Frame)
+
+
+def test_name_forms_are_learnt(spark):
+    people = [("william", f"lastname{k}oglu") for k in range(6)] + [("robert", f"other{k}dag") for k in range(6)]
+    cand = [("person", ["wilk", last], [given, last]) for given, last in people[:5]] + [("person", ["robert", last], [given, last]) for given, last in people[:3]] + [("person", ["stray", people[k][1]], list(people[k])) for k in (0, 7, 9)]
+    got = {r.token: set(r.means) for r in names.name_forms(spark.createDataFrame(cand, "kind string, tokens array<string>, name array<string>")).collect()}
+    assert got == {"wilk": {"william"}}
+    assert names.name_forms(spark.createDataFrame([], "kind string, tokens array<string>, name array<string>")).count() == 0
+
+
+def test_words_of_institutions_are_learnt(spark):
+    orgs = [(k, [f"own{k}ville", "state", "clinic"] if k % 2 else [f"own{k}ville", "law", "school"]) for k in range(12)]
+    typed = [("organisation", f"{n[0]} {w}", k, [n[0], *w.split()], n) for k, n in orgs for w in (("devlet klinik", "devlet cl") if k % 2 else ("hukuk okul", "hukuk school"))]
+    cand = spark.createDataFrame(typed, "kind string, typed string, entity_id long, tokens array<string>, name array<string>")
+    kinds = spark.createDataFrame([(k, n[1:]) for k, n in orgs], "entity_id long, of_kind array<string>")
+    got = {r.token: set(r.means) for r in names.kind_forms(cand, kinds).collect()}
+    assert "law" in got["hukuk"] and "state" in got["devlet"] and not got["hukuk"] & {"state", "clinic"} and not got["devlet"] & {"law", "school"}
+
+
+def test_confusions_are_learnt(spark):
+    told = ["garden", "market", "captain", "hammer", "paper", "tractor"]
+    body = " ".join(f"They saw a {w} beside the old river yesterday." for w in told) + " "
+    clean = [(f"c{i}", body * 3 + "A narrow salad was kept.") for i in range(6)]
+    lines = [f"they saw a {w.replace('a', 'q', 1)} beside the old river yesterday and" for w in told] + ["nobody knew why the sqlad was warm or cold in the long"]
+    df = spark.createDataFrame([(*r, *NONE) for r in [*clean, ("s", "\n".join(lines))]], "id string, content string" + EXTRA)
+    got = {(r.line_no, r.repaired) for r in scans.Scans(spark, df).found().where("kind = 'ocr'").collect()}
+    assert got == {(i + 1, w) for i, w in enumerate(told)} | {(7, "salad")}  # the last one has unknown neighbours
