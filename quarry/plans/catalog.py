@@ -329,6 +329,26 @@ def corpus_summaries(s, sf):
     return corpus.summaries(d).select("id", "file_name", "file_size_bytes", "total_pages", "total_characters", "total_chunks", F.row_number().over(w).alias("place_in_year"))
 
 
+def document_order(s, sf):
+    """All documents in the order of their upload, numbered by day."""
+    w = Window.partitionBy(F.to_date("uploaded_at")).orderBy(F.asc("uploaded_at"), F.asc("id"))
+    return corpus.all_documents(_t(s, sf, "corpus_documents")).select("id", F.row_number().over(w).alias("place_in_day"))
+
+
+def document_lookup(s, sf):
+    """The longest document and its chunks, each looked up by its id."""
+    d, c = _t(s, sf, "corpus_documents"), _t(s, sf, "corpus_chunks")
+    longest = d.agg(F.max_by("id", F.struct(F.coalesce("total_characters", F.lit(0)), "id")).alias("id")).first().id
+    name = corpus.document(d, longest).select("id", "file_name")
+    return corpus.chunks_of(c, longest).join(name, F.col("doc_id") == F.col("id")).select("doc_id", "file_name", "chunk_id", "chunk_index")
+
+
+def file_routes(s, sf):
+    """Which loader takes the stored files, by extension."""
+    x = _t(s, sf, "corpus_documents").select(files.extension(F.col("file_name")).alias("extension"), F.coalesce(files.route(F.col("file_name")), F.lit("none")).alias("route"))
+    return x.groupBy("extension", "route").agg(F.count("*").alias("n"))
+
+
 def chunk_order(s, sf):
     return corpus.all_chunks(_t(s, sf, "corpus_chunks")).select("doc_id", "chunk_id", "chunk_index", "ordinal")
 
@@ -369,9 +389,9 @@ def page_metadata(s, sf):
 
 
 def corpus_upsert(s, sf):
-    """Documents of odd size saved again under a new name: what the tables hold then."""
+    """Documents of pages saved again under a new name, with their first chunk: what the tables hold then."""
     d, c = _t(s, sf, "corpus_documents"), _t(s, sf, "corpus_chunks")
-    again = d.where("file_size_bytes % 2 = 1").withColumn("file_name", F.concat(F.lit("new_"), "file_name"))
+    again = d.where("file_name LIKE '%.pdf'").withColumn("file_name", F.concat(F.lit("new_"), "file_name"))
     first = c.join(again.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").where("chunk_index = 0").select(*c.columns)
     nd, nc = corpus.save(d, c, again, first)
     n = nc.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
@@ -454,7 +474,7 @@ def answer_flags(s, sf):
 NAMES = """tokenize_stats stem_vocab content_tokens sentence_stats evidence_line_stats bigram_counts conversational_sentences fuzzy_match_counts
 postings_tf term_df corpus_stats bm25_topk hybrid_index hash_embed dense_topk_hash dense_topk_vectors vector_distances vector_upsert rrf_fusion rerank_scores hybrid_topk
 grounding_sentences grounding_verdicts violation_messages supervisor_prompts chat_gate retrieval_lift faithfulness_evidence context_relevancy answer_relevancy triad_scores ranking_metrics auto_labels dosage_guard breaker_fallback
-supervisor_outcomes exec_evaluation run_summary json_repair json_typed trace_durations corpus_summaries chunk_order corpus_totals corpus_upload corpus_ingest inline_split base_names page_metadata corpus_upsert corpus_delete
+supervisor_outcomes exec_evaluation run_summary json_repair json_typed trace_durations corpus_summaries document_order document_lookup file_routes chunk_order corpus_totals corpus_upload corpus_ingest inline_split base_names page_metadata corpus_upsert corpus_delete
 header_fingerprints header_strip page_cleaning chunk_documents chunk_invariants nearest_five polar_projection cross_doc_bridges chunk_links line_locator answer_flags""".split()
 
 

@@ -235,10 +235,13 @@ g AS (SELECT *, coalesce(json_type(o, '$.id'), 'NULL') AS ti, coalesce(json_type
 SELECT query_id, sentence_index, CASE WHEN clean = '' THEN 'EmptyOutput' WHEN clean = 'null' THEN 'NullParsedObject' WHEN ok THEN 'None' ELSE 'SchemaViolation' END AS code, CASE WHEN ok AND clean <> '' THEN json_extract_string(o, '$.id') END AS id, CASE WHEN ok AND clean <> '' THEN coalesce(json_extract_string(o, '$.index'), json_extract_string(o, '$.Index'))::BIGINT END AS index, CASE WHEN ok AND clean <> '' THEN md5(json_extract_string(o, '$.text')) END AS text_md5 FROM h""",
         "trace_durations": f"WITH {_TRACES} SELECT *, elapsed_ms - coalesce(lag(elapsed_ms) OVER (PARTITION BY user_id ORDER BY step_no), 0) AS step_ms FROM traces",
         "corpus_summaries": "SELECT id, file_name, file_size_bytes, total_pages, total_characters, total_chunks, CAST(row_number() OVER (PARTITION BY year(uploaded_at AT TIME ZONE 'UTC') ORDER BY uploaded_at DESC, id) AS INT) AS place_in_year FROM corpus_documents",
+        "document_order": "SELECT id, CAST(row_number() OVER (PARTITION BY CAST(uploaded_at AT TIME ZONE 'UTC' AS DATE) ORDER BY uploaded_at, id) AS INT) AS place_in_day FROM corpus_documents",
+        "document_lookup": "SELECT doc_id, file_name, chunk_id, chunk_index FROM corpus_chunks JOIN corpus_documents ON id = doc_id WHERE doc_id = (SELECT id FROM corpus_documents ORDER BY coalesce(total_characters, 0) DESC, id DESC LIMIT 1)",
+        "file_routes": "SELECT lower(regexp_extract(file_name, '\\.([^./]+)$', 1)) AS extension, CASE WHEN extension = 'pdf' THEN 'pages' WHEN extension IN ('txt', 'md', 'json', 'csv', 'log') THEN 'text' ELSE 'none' END AS route, count(*) AS n FROM corpus_documents GROUP BY ALL",
         "chunk_order": "SELECT doc_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) AS ordinal FROM corpus_chunks",
         "corpus_totals": "SELECT count(*) AS documents, sum(total_characters)::BIGINT AS characters, sum(total_chunks)::BIGINT AS chunks, sum(file_size_bytes)::BIGINT AS bytes FROM corpus_documents",
         "corpus_upload": "SELECT id AS file, CAST(len(string_split(content, chr(10) || chr(10))) AS INT) AS total_pages, length(content)::BIGINT AS total_characters, (SELECT count(*) FROM corpus_chunks c WHERE c.doc_id = d.id) AS total_chunks, md5(content) AS content_md5 FROM corpus_documents d",
-        "corpus_upsert": "SELECT id, CASE WHEN file_size_bytes % 2 = 1 THEN 'new_' || file_name ELSE file_name END AS file_name, (SELECT count(*) FROM corpus_chunks c WHERE c.doc_id = d.id AND (d.file_size_bytes % 2 = 0 OR c.chunk_index = 0)) AS n_chunks FROM corpus_documents d",
+        "corpus_upsert": "SELECT id, CASE WHEN file_name LIKE '%.pdf' THEN 'new_' || file_name ELSE file_name END AS file_name, (SELECT count(*) FROM corpus_chunks c WHERE c.doc_id = d.id AND (d.file_name NOT LIKE '%.pdf' OR c.chunk_index = 0)) AS n_chunks FROM corpus_documents d",
         "corpus_delete": "WITH u AS (SELECT DISTINCT doc_id FROM corpus_chunks SEMI JOIN hits USING (chunk_id)) SELECT d.id, count(*) AS n_chunks FROM corpus_documents d JOIN u ON u.doc_id = d.id JOIN corpus_chunks c ON c.doc_id = d.id GROUP BY ALL",
         "header_fingerprints": f"WITH {_HEADS} SELECT file, header, n FROM heads",
         "header_strip": rf"""WITH {_HEADS}, h1 AS (SELECT file, list(header) AS hs FROM heads GROUP BY ALL), x AS (SELECT p.file, page_no, text, string_split(text, chr(10)) AS l, coalesce(hs, []) AS hs FROM pages p LEFT JOIN h1 USING (file)), y AS (SELECT *, lower({_NORM('l[1]')}) AS n1, lower({_NORM('coalesce(l[2], ' + chr(39) * 2 + ')')}) AS n2 FROM x),
