@@ -53,6 +53,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 def retrieve(queries: DataFrame, index: Index, k: int = 3, cutoff: float = 0.20, rrf_k: int = retrieval.RRF_K, k1: float = retrieval.K1, b: float = retrieval.B, dims: int = retrieval.DIMS) -> DataFrame:
     """query_id, chunk_id, coverage, affinity, score, rank. Twice k hits of either kind are fused, twice k of these reranked; blank queries have no rows."""
+    queries = store.stored(queries.select("query_id", "query"))
     lists = [retrieval.bm25(queries, index.postings, index.stats, 2 * k, k1, b), retrieval.dense(retrieval.embedded_queries(queries, dims), index.vectors, 2 * k, dims)]
     ranked = [x.select("query_id", F.lit(n).alias("list_no"), F.lit(1.0).alias("weight"), "chunk_id", "rank") for n, x in enumerate(lists)]
     fused = retrieval.fuse(ranked[0].unionByName(ranked[1]), rrf_k, 2 * k)
