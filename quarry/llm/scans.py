@@ -59,6 +59,8 @@ SALTS = 16  #: parts of the occurrences of a word where corrections are too many
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"}
 
 _HYPHEN = re.compile(r"(\S*[^\W_])[-\u00ac\u00ad\u2010\u2011]$")
+_HYPHENS = "-\u00ac\u00ad\u2010\u2011"
+_LETTERS = re.compile(r"[^\W\d_]+")
 _TERMINAL = re.compile(r"[.!?:;…][\"”’»)\]]*$")
 _NUMBER = re.compile(r"^\W*(?:(?:s|sayfa|seite|page|p|pág|pag|página|стр|с)\W*)?[\dOolISB]{1,4}(?:\s*(?:/|von|of|de)\s*[\dOolISB]{1,4})?[^\w.]*$", re.I)
 _ISSUE = re.compile(r"(?=(?:\w*\d){2})\b\w{4};\s?\w{1,3}\W?\w{1,3}\b")
@@ -74,9 +76,18 @@ def is_scan(content: Column) -> Column:
     return F.coalesce((F.size(lines) >= 3) & (wide <= WIDE_LINES * F.size(lines)) & (F.size(broken) >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.25))), F.lit(False))
 
 
+def _issue(line: str) -> bool:
+    return ";" in line and _ISSUE.search(line) is not None
+
+
+def _broken(line: str) -> re.Match | None:
+    """The line ends in a hyphen behind a word."""
+    return _HYPHEN.search(line) if line[-1:] in _HYPHENS and line else None
+
+
 def line_key(line: str) -> str:
     """Letters of a line without figures and signs, for comparing running lines."""
-    return " ".join(re.findall(r"[^\W\d_]+", _ISSUE.sub(" ", line).replace("İ", "i").lower().replace("ı", "i")))
+    return " ".join(_LETTERS.findall((_ISSUE.sub(" ", line) if ";" in line else line).replace("İ", "i").lower().replace("ı", "i")))
 
 
 def _authors(line: str) -> bool:
@@ -94,14 +105,14 @@ class Page:
     def __init__(self, content: str):
         self.lines = [x.rstrip() for x in content.split("\n")]
         self.filled = [i for i, x in enumerate(self.lines) if x.strip()]
-        plain = [len(self.lines[i]) for i in self.filled if len(self.lines[i]) <= PAGE_WIDTH and not _ISSUE.search(self.lines[i])]
+        plain = [len(self.lines[i]) for i in self.filled if len(self.lines[i]) <= PAGE_WIDTH and not _issue(self.lines[i])]
         self.width = max(plain, default=0)
         self.sure = {i for i in self.filled if self._sure(self.lines[i].strip())}
         self.short = {i for k, i in enumerate(self.filled) if i not in self.sure and self._short(k)}
 
     @staticmethod
     def _sure(x: str) -> bool:
-        if _ISSUE.search(x) or (_NUMBER.match(x) and any(c.isdigit() for c in x) and not re.match(r"^[(]?\d+(?:[.,]\d+)?[)]?[.,;:]$|^\d+[.,]\d+$", x)):
+        if _issue(x) or (_NUMBER.match(x) and any(c.isdigit() for c in x) and not re.match(r"^[(]?\d+(?:[.,]\d+)?[)]?[.,;:]$|^\d+[.,]\d+$", x)):
             return True
         return len(x.split()) <= 6 and _authors(x)
 
@@ -109,7 +120,7 @@ class Page:
         """The line was ended on purpose (the next word had fitted), not by the end of a sentence."""
         i = self.filled[k]
         x = self.lines[i]
-        if _TERMINAL.search(x) or x.endswith(",") or _HYPHEN.search(x) or len(x.split()) > 9 or not any(c.isalpha() for c in x):
+        if _TERMINAL.search(x) or x.endswith(",") or _broken(x) or len(x.split()) > 9 or not any(c.isalpha() for c in x):
             return False
         nxt = next((self.lines[j].split()[0] for j in self.filled[k + 1 :] if j not in self.sure), "")
         return len(x) + 1 + len(nxt) < self.width - 1 and len(x) < 0.78 * self.width
@@ -125,7 +136,7 @@ class Page:
     def furniture(self, known: set[str]) -> set[int]:
         """Indices of the lines of furniture; known: keys of running lines."""
         out = set(self.sure)
-        out |= {i for i in self.filled if i not in out and line_key(self.lines[i]) in known and not _HYPHEN.search(self.lines[i])}
+        out |= {i for i in self.filled if i not in out and line_key(self.lines[i]) in known and not _broken(self.lines[i])}
         keys = known | {line_key(self.lines[i]) for i in out}
         at = {i: k for k, i in enumerate(self.filled)}
         grew = True
@@ -173,7 +184,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, i in enumerate(text):
                 parts = p.lines[i].split()[carried:]
                 carried = 0
-                m = _HYPHEN.search(p.lines[i])
+                m = _broken(p.lines[i])
                 nxt = p.lines[text[k + 1]].split() if k + 1 < len(text) else []
                 if m and nxt and parts and (nxt[0][:1].isalpha() or (nxt[0][:1].isdigit() and not parts[-1][-2:-1].islower())):
                     head, rest = parts.pop()[:-1], nxt[0]
