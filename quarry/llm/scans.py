@@ -317,7 +317,7 @@ class Scans:
         self.clean_words = src.where("NOT scan").select(F.transform(F.split("content", r"\s+"), bare).alias("w"))
         counts = clean.unionByName(said).where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
         self.words = K.checkpointed(spark, counts.groupBy(lower_first(F.col("word")).alias("key")).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max_by("word", F.struct(F.col("c") + F.col("s"), F.col("word"))).alias("surface")))
-        suspect = self.words.where((F.col("s") > 0) & (F.col("c") <= SUSPECT * F.col("s")) & (F.length("key") > 1) & F.col("key").rlike(r"\p{L}") & ~F.col("key").rlike(r"^\P{L}*\p{Lu}?\p{L}?-?[\d.,/-]+$"))
+        suspect = self.words.where((F.col("s") > 0) & (F.col("c") <= SUSPECT * F.col("s")) & (F.length("key") > 1) & F.col("key").rlike(r"\p{L}") & ~F.col("key").rlike(r"^\P{L}*\p{Lu}?\p{L}?-?[\d.,/-]+$") & ~(F.col("key").rlike(r"\d.*\d") & number_of(F.col("key")).isNotNull()))
         meant = self.words.where((F.col("c") >= MIN_COUNT) | ((F.col("c") == 0) & (F.col("s") > MIN_COUNT))).where(F.length("key") > 1)
         left = suspect.select(F.col("key").alias("read"), (F.col("c") + F.col("s")).alias("n_read"), F.col("c").alias("c_read"), F.explode(_deletes(F.col("key"))).alias("rest"))
         right = meant.select(F.col("key").alias("meant"), "surface", (F.col("c") + F.col("s")).alias("n_meant"), F.col("c").alias("c_meant"), F.explode(_deletes(F.col("key"))).alias("rest"))
