@@ -585,3 +585,11 @@ def test_confusions_are_learnt(spark):
     df = spark.createDataFrame([(*r, *NONE) for r in [*clean, ("s", "\n".join(lines))]], "id string, content string" + EXTRA)
     got = {(r.line_no, r.repaired) for r in scans.Scans(spark, df).found().where("kind = 'ocr'").collect()}
     assert got == {(i + 1, w) for i, w in enumerate(told)} | {(7, "salad")}  # the last one has unknown neighbours
+
+
+def test_misread_numbers_are_no_words(spark):
+    body = "El sol brilla sobre las montañas del norte todos los días. "
+    clean = [(f"c{i}", body * 6) for i in range(6)]
+    page = "\n".join(["El sol brilla sobre las montañas del norte y las", "50l casas del norte brillan todos los días del sol", "sobre las montañas del norte todos los días. El"])
+    df = spark.createDataFrame([(*r, *NONE) for r in [*clean, ("s", page)]], "id string, content string" + EXTRA)
+    assert {(r.line_no, r.repaired) for r in scans.Scans(spark, df).found().where("kind = 'ocr'").collect()} == {(2, "501")}
