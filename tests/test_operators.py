@@ -210,6 +210,38 @@ def test_ties_go_by_chunk_order(spark, monkeypatch):
     assert [r.chunk_id for r in retrieval.bm25(many, i.postings, i.stats, 3).where("query_id = 'q4'").orderBy("rank").collect()] == want
 
 
+def _no_pairs(monkeypatch, k, queries):
+    """Fails where words of chunks are stored, or more rows than the best of each partition are ranked."""
+    stored, top = store.stored, retrieval.top
+
+    def small_top(df, by, order, n):
+        if by == ["query_id"]:
+            assert df.count() <= k * queries * df.rdd.getNumPartitions()
+        return top(df, by, order, n)
+
+    def no_words(df):
+        assert "w" not in df.columns
+        return stored(df)
+
+    monkeypatch.setattr(store, "stored", no_words)
+    monkeypatch.setattr(retrieval, "top", small_top)
+
+
+def _many(spark, n=400):
+    c = spark.range(n).selectExpr("concat('d_c', id) AS chunk_id", "concat('d', id % 7) AS doc_id", "cast(id AS int) AS chunk_index", "concat_ws(' ', 'same words', concat('n', id % 5), concat('m', id % 11)) AS content")
+    return c, frame(spark, [(f"q{i}", f"same n{i % 5} m{i % 11}") for i in range(30)], "query_id string, query string")
+
+
+def test_bm25_stores_no_pairs(spark, tmp_path, monkeypatch):
+    c, q = _many(spark)
+    c.write.parquet(f"{tmp_path}/corpus_chunks.parquet")
+    q.selectExpr("concat('q', cast(substr(query_id, 2) AS int) * 50) AS query_id", "query").write.parquet(f"{tmp_path}/queries.parquet")
+    _no_pairs(monkeypatch, 5, 30)
+    got = catalog.bm25_topk(spark, str(tmp_path)).where("query_id = 'q150'").orderBy("rank").collect()
+    # chunks with both words first, in the order of document and index; then those with the rarer word
+    assert [r.chunk_id for r in got] == ["d_c168", "d_c113", "d_c58", "d_c3", "d_c388"] and len({r.score for r in got}) == 1
+
+
 def test_parameters(spark):
     c = frame(spark, CHUNKS, "chunk_id string, doc_id string, content string")
     i, q = hybrid.build(c, dims=128), frame(spark, [("q", "hallucinations guardrails")], "query_id string, query string")
