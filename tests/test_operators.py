@@ -242,6 +242,15 @@ def test_bm25_stores_no_pairs(spark, tmp_path, monkeypatch):
     assert [r.chunk_id for r in got] == ["d_c168", "d_c113", "d_c58", "d_c3", "d_c388"] and len({r.score for r in got}) == 1
 
 
+def test_dense_stores_no_pairs(spark, tmp_path, monkeypatch):
+    c, q = _many(spark)
+    c.write.parquet(f"{tmp_path}/corpus_chunks.parquet")
+    q.selectExpr("concat('q', cast(substr(query_id, 2) AS int) * 50) AS query_id", "query").write.parquet(f"{tmp_path}/queries.parquet")
+    _no_pairs(monkeypatch, 5, 30)
+    got = catalog.dense_topk_hash(spark, str(tmp_path)).where("query_id = 'q150'").orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["d_c168", "d_c113", "d_c58", "d_c3", "d_c388"] and len({r.score for r in got}) == 1
+
+
 def test_parameters(spark):
     c = frame(spark, CHUNKS, "chunk_id string, doc_id string, content string")
     i, q = hybrid.build(c, dims=128), frame(spark, [("q", "hallucinations guardrails")], "query_id string, query string")
