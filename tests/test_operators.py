@@ -251,6 +251,15 @@ def test_dense_stores_no_pairs(spark, tmp_path, monkeypatch):
     assert [r.chunk_id for r in got] == ["d_c168", "d_c113", "d_c58", "d_c3", "d_c388"] and len({r.score for r in got}) == 1
 
 
+def test_hybrid_stores_no_words_and_stems_candidates_only(spark, monkeypatch):
+    c, q = _many(spark)
+    _no_pairs(monkeypatch, 6, 30)
+    got = hybrid.retrieve(q, hybrid.build(c), k=3)
+    assert [r.chunk_id for r in got.where("query_id = 'q3'").orderBy("rank").collect()] == ["d_c168", "d_c113", "d_c58"]
+    plan = retrieval.chunk_stems(retrieval.chunk_words(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+
+
 def test_parameters(spark):
     c = frame(spark, CHUNKS, "chunk_id string, doc_id string, content string")
     i, q = hybrid.build(c, dims=128), frame(spark, [("q", "hallucinations guardrails")], "query_id string, query string")
