@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions import text as T
+from quarry.operators import matching
 from quarry.sources import store
 
 # Messages by reason, parts of the feedback and of the prompt, states of the gate.
@@ -106,21 +109,33 @@ def prompts(requests: DataFrame, v: DataFrame, context: DataFrame, chunks: DataF
     return j.select("query_id", "attempt", text.alias("prompt"))
 
 
+def _mapped(df: DataFrame, kernel, columns: str) -> DataFrame:
+    """The frame that a kernel, told the schema of its columns, makes of batches."""
+    return df.mapInArrow(kernel(to_arrow_schema(StructType.fromDDL(columns))), columns)
+
+
 def evidence(answers: DataFrame, context: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, attempt, sentence_index, support_ratio, best_doc_id, best_snippet, line_matches: the line of the context that supports a sentence best.
+    """query_id, attempt, sentence_index, grounded, support_ratio, line_matches, best_doc_id, best_snippet: the line of the context that supports a sentence best.
 
-    context: query_id, chunk_id, rank; the first line in rank and line order wins a tie.
+    context: query_id, chunk_id, rank, read twice; the first line in rank and
+    line order wins a tie. The stems of a query's sentences go to the chunks
+    of its context, and what they find there comes back as one row a pair.
     """
-    s = store.stored(support(answer_sentences(answers, T.TRIAD_STOP), context, chunks, T.TRIAD_STOP))
-    lines = chunks.select("chunk_id", "doc_id", F.posexplode(T.evidence_lines(F.col("content"))).alias("line_no", "line")).where(F.length("line") >= 10)
-    line_keys = lines.select("chunk_id", "line_no", F.explode(_keys(T.without(T.tokens(F.col("line")), T.TRIAD_STOP), T.build_keys)).alias("key"))
-    words = s.where("NOT free").select("query_id", "attempt", "sentence_index", F.posexplode(T.stems(F.col("content"))).alias("w", "s"))
-    asked = words.select("query_id", "attempt", "sentence_index", "w", F.explode(T.probe_keys(F.col("s"))).alias("key")).join(context.select("query_id", "chunk_id", "rank"), "query_id")
-    n = asked.join(line_keys, ["chunk_id", "key"]).groupBy("query_id", "attempt", "sentence_index", "rank", "chunk_id", "line_no").agg(F.countDistinct("w").alias("m"))
-    best = n.groupBy("query_id", "attempt", "sentence_index").agg(F.max(F.struct("m", -F.col("rank"), -F.col("line_no"), "chunk_id")).alias("x")).select("query_id", "attempt", "sentence_index", F.col("x.m").alias("line_matches"), (-F.col("x.col3")).alias("line_no"), F.col("x.chunk_id").alias("chunk_id"))
-    named = best.join(lines, ["chunk_id", "line_no"]).select("query_id", "attempt", "sentence_index", "line_matches", F.col("doc_id").alias("best_doc_id"), F.col("line").alias("best_snippet"))
+    kinds = dict(answers.dtypes) | {"doc_id": dict(chunks.dtypes)["doc_id"]}
+    line = lambda s: F.concat(F.when(s.endswith("?") | (F.length(s) < 35), "1").otherwise("0"), F.array_join(T.tokens(s), " "))
+    sentences = F.array_join(F.transform(T.sentences(F.col("response")), line), "\n")
+    by = answers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("attempt", sentences.alias("sentences")))).alias("a")).select("query_id", "a.attempt", "a.sentences")
+    asked = store.stored(_mapped(by, matching.asked(T.TRIAD_STOP), f"query_id {kinds['query_id']}, stems string, told binary"))
+    pairs = context.select("query_id", "chunk_id", "rank").where("chunk_id IS NOT NULL").join(asked.select("query_id", "stems"), "query_id")
+    pairs, texts = store.spread(pairs, chunks.select("chunk_id", "doc_id", "content"), "chunk_id", "query_id", context)
+    both = texts.unionByName(pairs, allowMissingColumns=True).repartition("chunk_id", "_salt").sortWithinPartitions("chunk_id", "_salt", F.col("stems").isNotNull())
+    rows = both.select("chunk_id", "doc_id", "content", F.array_join(T.tokens_and_ends(F.col("content")), " ").alias("words"), "query_id", "rank", "stems")
+    found = _mapped(rows, matching.met(T.TRIAD_STOP), f"query_id {kinds['query_id']}, found binary")
+    each = asked.select("query_id", "told").unionByName(found, allowMissingColumns=True).repartition("query_id").sortWithinPartitions("query_id", F.col("told").isNull())
+    rated = _mapped(each, matching.best, f"query_id {kinds['query_id']}, attempt {kinds['attempt']}, sentence_index int, free boolean, matched bigint, total bigint, line_matches bigint, best_doc_id {kinds['doc_id']}, best_snippet string")
     ratio = F.when(F.col("free"), 1.0).otherwise(F.bround(F.col("matched") / F.col("total"), 2))
-    return s.select("query_id", "attempt", "sentence_index", "grounded", ratio.alias("support_ratio")).join(named, ["query_id", "attempt", "sentence_index"], "left")
+    grounded = F.col("free") | (5 * F.col("matched") >= 2 * F.col("total"))
+    return rated.select("query_id", "attempt", "sentence_index", grounded.alias("grounded"), ratio.alias("support_ratio"), "line_matches", "best_doc_id", "best_snippet")
 
 
 def context_relevancy(queries: DataFrame, context: DataFrame, chunks: DataFrame) -> DataFrame:

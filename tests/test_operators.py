@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, pages, retrieval, verification, views
+from quarry.operators import chunking, matching, pages, retrieval, verification, views
 from quarry.functions import text as T
 from quarry.plans import catalog, hybrid
 from quarry.sources import corpus, files, store
@@ -69,6 +69,64 @@ def test_verdicts(spark):
     assert trips == {("q", 1): False, ("q", 2): False, ("q", 3): True, ("x", 1): True}
 
 
+def _shuffled(spark):
+    """Bytes of shuffle files written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_evidence_moves_pairs_not_words(spark):
+    texts = [". ".join(f"regimen {' '.join(f'factor{(7 * i + 3 * n + w) % 40:02d}' for w in range(12))}" for n in range(12)) for i in range(40)]
+    c = frame(spark, [(f"c{i}", f"d{i}", x) for i, x in enumerate(texts)], "chunk_id string, doc_id string, content string")
+    ctx = frame(spark, [(f"q{q}", f"c{(q + r) % 40}", r) for q in range(200) for r in range(1, 6)], "query_id string, chunk_id string, rank int")
+    a = frame(spark, [(f"q{q}", 1, texts[q % 40] + ".") for q in range(200)], "query_id string, attempt int, response string")
+    before = _shuffled(spark)
+    got = verification.evidence(a, ctx, c).collect()
+    assert len(got) == 2400 and all(r.support_ratio == 1.0 and r.line_matches == 13 for r in got)
+    assert _shuffled(spark) - before < 500_000  # words of pairs exploded took 1.6 MB
+
+
+@pytest.mark.parametrize("hot", [store.HOT_ROWS, 1])
+def test_evidence(spark, monkeypatch, hot):
+    monkeypatch.setattr(store, "HOT_ROWS", hot)
+    c = frame(spark, [("c1", "d1", "Alpha.\nBeta guardrails prevented it - guardrails prevent hallucinations"), ("c2", "d2", "guardrails prevent hallucination. Guardrails; prevent hallucination"), ("c3", None, None), (None, "d4", "guardrails prevent hallucinations")], "chunk_id string, doc_id string, content string")
+    ctx = frame(spark, [("q", "c3", 1), ("q", "c1", 2), ("q", "c2", 3), ("q", "gone", 4), ("q", None, 5), ("r", "c2", 1)], "query_id string, chunk_id string, rank int")
+    a = frame(spark, [("q", 1, "Guardrails prevent preventing hallucinations. Alpha alphabets alphas unknown words. Right?"), ("q", 2, None), ("r", 1, "Some guardrails prevent hallucinations entirely."), ("x", 1, "Nothing known about guardrails."), (None, 1, "Guardrails without any query.")], "query_id string, attempt int, response string")
+    got = {(r[0], r[1], r[2]): tuple(r[3:]) for r in verification.evidence(a, ctx, c).collect()}
+    assert got == {
+        ("q", 1, 1): (True, 1.0, 4, "d1", "guardrails prevent hallucinations"),  # of equal lines that of the first rank
+        ("q", 1, 2): (True, 0.6, None, None, None),  # the line is too short to be evidence
+        ("q", 1, 3): (True, 1.0, None, None, None),
+        ("r", 1, 1): (True, 0.6, 3, "d2", "guardrails prevent hallucination"),
+        ("x", 1, 1): (False, 0.0, None, None, None),
+        (None, 1, 1): (False, 0.0, None, None, None),
+    }
+
+
+def test_lines_of_kernels(spark, small):
+    odd = ["", None, "-", "a-b c--dd e-ff-g. gg -hh- ii-\nşş-İİ • x_y‿z.é́-é́é", " \t\x0b lead-ing\r\n.. trail \f.\n-\n", "one line without any end", "𝒜𝒜-𝒜. 𝒜b"]
+    c = spark.read.parquet(f"{small}/corpus_chunks.parquet").select("content").union(frame(spark, [(x,) for x in odd], "content string"))
+    lines = F.transform(T.evidence_lines(F.col("content")), lambda x: F.struct(x.alias("line"), T.tokens(x).alias("words")))
+    n = 0
+    for r in c.select("content", lines.alias("lines"), T.tokens(F.col("content")).alias("words"), F.array_join(T.tokens_and_ends(F.col("content")), " ").alias("both")).collect():
+        parts = [(x.strip(matching.SPACE), [w for w in y.split() if len(w) > 1]) for x, y in zip(matching._PARTS.split(r.content or ""), matching._PARTS.split(r.both), strict=True)]
+        assert [(x, y) for x, y in parts if x] == [(x.line, x.words) for x in r.lines or []]
+        assert [w for w in r.both.split() if len(w) > 1] == r.words
+        n += len(parts)
+    assert n > 300
+
+
+def test_stems_and_keys_of_kernels(spark, small):
+    odd = ["ies", "aies", "glasses", "asses", "boss", "as", "running", "ing", "red", "seed", "evlerinin", "kalemlerdir", "İstanbul", "strasse-haus", "x_y", "naïves", "işleri", "mektedir", "𝒜bcdes"]
+    w = spark.read.parquet(f"{small}/corpus_chunks.parquet").select(F.explode(T.tokens(F.col("content"))).alias("w")).union(frame(spark, [(x,) for x in odd], "w string")).distinct()
+    stems = {r.w: r.s for r in w.select("w", T.stem(F.col("w")).alias("s")).collect()}
+    assert len(stems) > 300 and {x: matching.stem(x) for x in stems} == stems
+    some = [*sorted(set(stems.values()))[::7], "abc", "abcd", "abcde", "abcdef", "abcdxy", "ab"]
+    match = lambda a, b: a == b or (min(len(a), len(b)) >= 4 and a[: min(len(a), len(b), 5)] == b[: min(len(a), len(b), 5)])
+    assert all(match(a, b) == bool({*matching.probe_keys(a)} & {*matching.build_keys(b)}) for a in some for b in some)
+
+
 def test_ranking_metrics(spark):
     r = frame(spark, [("q", "x", 1), ("q", "a", 2), ("q", "b", 3)] + [("f", str(i), i) for i in range(1, 5)] + [("f", "a", 5)], "query_id string, chunk_id string, rank int")
     rel = frame(spark, [("q", "a"), ("q", "b"), ("q", "c"), ("q", "a"), ("f", "a")], "query_id string, chunk_id string")
